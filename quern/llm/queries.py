@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import documents
 from quern.llm.exact_dedup import exact_dedup
+from quern.llm.simhash_dedup import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,13 +17,20 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(documents(spark, sf_dir))
+
+
 OP9_SQL = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_exact_dedup": op9_exact_dedup}
+    return {
+        "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op9_exact_dedup": op9_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
