@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import documents
+from quern.llm.bpe import encode_decode
 from quern.llm.exact_dedup import exact_dedup
+from quern.llm.language_id import language_id
 from quern.llm.simhash_dedup import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -21,6 +30,14 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
 OP9_SQL = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
@@ -28,8 +45,10 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_bpe": op4_bpe,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_language_id": op10_language_id,
     }
 
 
