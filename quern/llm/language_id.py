@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 SAMPLE, EXCERPT, LEVEL, MARGIN = 256, 1024, 6, 1
 UNKNOWN = "und"
@@ -89,7 +89,7 @@ class Classifier:
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL) -> DataFrame:
-    """All columns of docs, with lang_pred, score and rejected."""
+    """All columns of docs (none of these names), with lang_pred, score and rejected."""
     schema = docs.schema.fieldNames()
     at = schema.index("text")
 
@@ -100,8 +100,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL
             extra = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*schema, "lang_pred", "score", "rejected"])
 
-    out = docs.schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return docs.mapInArrow(classify, out)
+    extra_fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    return docs.mapInArrow(classify, T.StructType([*docs.schema.fields, *extra_fields]))
 
 
 def language_id(docs: DataFrame) -> DataFrame:
