@@ -40,9 +40,8 @@ LEAF, MAX_LEAVES, SAMPLE_A_LEAF = 8192, 1 << 16, 16
 BLOCK, SMALL = 1 << 20, 512
 
 
-def shingles(text, n: int = 3):
-    """Array of structs of n words in a row; a shorter text is one struct, no words give an empty array."""
-    w = words(ascii_lower(F.coalesce(text, F.lit(""))))
+def shingles(w, n: int = 3):
+    """Array of structs of n words in a row, from a column of words; fewer words are one struct, none give an empty array."""
     size = F.size(w)
     names = [f"w{i}" for i in range(n)]
     long = F.arrays_zip(*[F.slice(w, i + 1, F.greatest(size - (n - 1), F.lit(0))).alias(names[i]) for i in range(n)])
@@ -53,7 +52,8 @@ def shingles(text, n: int = 3):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and `fp` (long) of every row's text."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode_outer(shingles(F.col("text"))).alias("pos", "s"))
+    split = docs.select("doc_id", F.xxhash64("text").alias("th"), words(ascii_lower(F.coalesce("text", F.lit("")))).alias("w"))
+    rows = split.select("doc_id", "th", F.posexplode_outer(shingles(F.col("w"))).alias("pos", "s"))
     hashed = rows.select("doc_id", "th", F.coalesce(F.col("pos"), F.lit(0)).alias("pos"), F.when(F.col("pos").isNotNull(), F.xxhash64(F.concat_ws(" ", "s.w0", "s.w1", "s.w2"))).alias("h"))
     counted = hashed.groupBy("doc_id", "th").agg(
         F.count("h").alias("n"),
