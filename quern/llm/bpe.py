@@ -136,6 +136,20 @@ def transduce(symbols: Iterable[str], merges: Merges, step: int = STEP) -> Itera
         fill = max(fill, len(window) + step) if at == 0 else look + step
 
 
+class Remembered(dict):
+    """Results by word, found when first asked for; forgets all once there are CACHE of them."""
+
+    def __init__(self, find) -> None:
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word):
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = found = self.find(word)
+        return found
+
+
 class Encoder:
     """Feeds of text in, token ids out."""
 
@@ -151,7 +165,7 @@ class Encoder:
         self.special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
         self.longest_special = max(map(len, merges.special), default=0)
         self.characters = byte_characters()
-        self.word = lru_cache(CACHE)(self._word)
+        self.known = Remembered(self._word)
 
     def _word(self, word: str) -> tuple[int, ...]:
         symbols = [self.characters[b] for b in word.encode()]
@@ -201,7 +215,7 @@ class Encoder:
             if isinstance(word, int):
                 out.append(word)
             else:
-                out.extend(self.word(word))
+                out.extend(self.known[word])
         return out
 
 
@@ -251,7 +265,7 @@ class Digester:
 
     def __init__(self, merges: Merges) -> None:
         self.merges, self.encoder = merges, Encoder(merges)
-        self.spelled = lru_cache(CACHE)(self._spelled)
+        self.spelled = Remembered(self._spelled)
 
     def _spelled(self, word: str | int) -> tuple[int, str, str, tuple[int, ...]]:
         ids = (word,) if isinstance(word, int) else self.encoder._word(word)
@@ -266,7 +280,7 @@ class Digester:
         ids_hash, text_hash, decoder, n = hashlib.sha256(), hashlib.sha256(), Decoder(self.merges), 0
         words = self.encoder.words(text)
         while some := list(islice(words, 1 << 14)):
-            found = list(map(self.spelled, some))
+            found = list(map(self.spelled.__getitem__, some))
             lead = " " if n else ""
             ids_hash.update((lead + " ".join([f[1] for f in found])).encode())
             if self._bytes:
@@ -278,13 +292,19 @@ class Digester:
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
+@lru_cache(2)
+def digester(path: str) -> Digester:
+    """One for each Python worker, so that its words stay known from task to task."""
+    return Digester(Merges(path))
+
+
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256. `path` must be readable on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digester = Digester(Merges(path))
+        digest = digester(path).digest
         for batch in batches:
-            out = [digester.digest(text.as_py() or "") for text in batch.column(1)]
+            out = [digest(text.as_py() or "") for text in batch.column(1)]
             columns = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.common import documents
 from quern.llm.bpe import encode_decode
 from quern.llm.exact_dedup import exact_dedup
+from quern.llm.fingerprints import fingerprint_documents
 from quern.llm.language_id import language_id
+from quern.llm.packing import best_fit
 from quern.llm.simhash_dedup import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +28,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
@@ -45,7 +55,9 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_fingerprints": op3_fingerprints,
         "op4_bpe": op4_bpe,
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_language_id": op10_language_id,
