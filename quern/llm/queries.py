@@ -13,6 +13,7 @@ from quern.llm.fingerprints import fingerprint_documents
 from quern.llm.language_id import language_id
 from quern.llm.packing import best_fit
 from quern.llm.simhash_dedup import simhash_components
+from quern.llm.suffix_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -57,6 +62,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_fingerprints": op3_fingerprints,
         "op4_bpe": op4_bpe,
+        "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
