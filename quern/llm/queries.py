@@ -11,6 +11,7 @@ from quern.llm.bpe import encode_decode
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.fingerprints import fingerprint_documents
 from quern.llm.language_id import language_id
+from quern.llm.line_dedup import line_dedup
 from quern.llm.packing import best_fit
 from quern.llm.simhash_dedup import simhash_components
 from quern.llm.suffix_dedup import remove_repeats
@@ -53,6 +54,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir))
+
+
+OP8_SQL = r"""WITH cut AS (
+  SELECT doc_id, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (
+  SELECT doc_id, site, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM cut),
+spread AS (
+  SELECT line, min((doc_id, pos)) AS first FROM lines WHERE NOT regexp_full_match(line, '[ \t\n\x0B\f\r]*')
+  GROUP BY line HAVING count(DISTINCT site) >= 10),
+judged AS (
+  SELECT doc_id, pos, l.line, s.line IS NOT NULL AND (doc_id, pos) <> s.first AS gone FROM lines l LEFT JOIN spread s ON l.line = s.line),
+joined AS (
+  SELECT doc_id, count(*) AS n_lines, sum(gone::INT)::BIGINT AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM judged GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM joined"""
+
 OP9_SQL = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
@@ -65,10 +84,11 @@ def queries() -> dict[str, Query]:
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_line_dedup": op8_line_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op8_line_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL}
