@@ -61,15 +61,21 @@ def removed_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFram
 
 
 def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """doc_id, k1, k2, text (the lines that stay), n_lines, n_removed of every document."""
-    rows, gone = removed_lines(docs, min_sites)
-    split = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed"))
-    joined = rows.join(gone, ["k1", "k2"], "left").withColumn("lines", split)
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
-    return joined.select("doc_id", "k1", "k2", text.alias("text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"))
+    """All columns of docs, text reduced to the lines that stay, with _lines and _removed, the numbers of all and of removed lines."""
+    _, gone = removed_lines(docs, min_sites)
+    body = F.coalesce("text", F.lit(""))
+    rows = docs.withColumns({"_k1": F.xxhash64("doc_id", body), "_k2": F.xxhash64(body, F.lit(7), "doc_id")})
+    gone = gone.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("removed").alias("_gone"))
+    joined = rows.join(gone, ["_k1", "_k2"], "left").withColumn("_split", F.split(body, "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_split", i)), "\n"))
+    return joined.select(
+        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.size("_split").cast("long").alias("_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed")
+    )
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept_chars, kept_sha256."""
-    return cleaned(docs, min_sites).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+    kept = cleaned(docs.select("doc_id", "source", "text"), min_sites)
+    body = F.coalesce("text", F.lit(""))
+    return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.length(body).cast("long").alias("kept_chars"), F.sha2(body, 256).alias("kept_sha256"))

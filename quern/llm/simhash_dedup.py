@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quern.llm.common import ascii_lower, discard, hex16, lanes, majority, materialize, words
 from quern.llm.graph import components
@@ -51,7 +51,7 @@ def shingles(w, n: int = 3):
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and `fp` (long) of every row's text."""
+    """doc_id, th (a hash of the text) and `fp` (long) of every row's text."""
     split = docs.select("doc_id", F.xxhash64("text").alias("th"), words(ascii_lower(F.coalesce("text", F.lit("")))).alias("w"))
     rows = split.select("doc_id", "th", F.posexplode_outer(shingles(F.col("w"))).alias("pos", "s"))
     hashed = rows.select("doc_id", "th", F.coalesce(F.col("pos"), F.lit(0)).alias("pos"), F.when(F.col("pos").isNotNull(), F.xxhash64(F.concat_ws(" ", "s.w0", "s.w1", "s.w2"))).alias("h"))
@@ -61,8 +61,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         *[F.sum(x).alias(f"c{i}") for i, x in enumerate(lanes(F.col("h")))],
     )
     fp = F.when(F.col("n") == 0, F.lit(0).cast("long")).otherwise(majority([F.col(f"c{i}") for i in range(32)], F.col("n")))
-    voted = counted.select("doc_id", fp.alias("fp"), F.col("rows").cast("int").alias("rows"))
-    return voted.select("doc_id", "fp", F.explode(F.array_repeat(F.lit(1), F.col("rows"))).alias("one")).drop("one")
+    voted = counted.select("doc_id", "th", fp.alias("fp"), F.col("rows").cast("int").alias("rows"))
+    return voted.select("doc_id", "th", "fp", F.explode(F.array_repeat(F.lit(1), F.col("rows"))).alias("one")).drop("one")
 
 
 def bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -226,23 +226,33 @@ def links(nodes: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame
     return routed.groupBy("shard").applyInPandas(pairs, "u long, v long")
 
 
-def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per document: doc_id, fingerprint (hex), component_id (smallest doc_id reachable by links)."""
+def classes(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, fp of every row; fp, root, component_id of every fingerprint)."""
     rows, _ = materialize(fingerprints(docs), "fingerprints")
     nodes, nodes_path = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes, radius))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes, _ = materialize(placed.join(named, "root").select("fp", "component_id"), "classes")
+    found, _ = materialize(placed.join(named, "root").select("fp", "root", "component_id"), "classes")
     discard(docs.sparkSession, nodes_path)
-    return rows.join(classes, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    return rows, found
+
+
+def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row per document: doc_id, fingerprint (hex), component_id (smallest doc_id reachable by links)."""
+    rows, found = classes(docs, radius)
+    return rows.join(found, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents of which each component keeps one: its smallest doc_id.
+    """The one document of each component that stays, with all its columns: the smallest doc_id, of equals one text, of repeated rows one.
 
-    A component without a doc_id keeps all its rows. All columns stay.
+    Rows without doc_id stay only where their component has no other.
     """
-    classes = simhash_components(docs, radius).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_component")).distinct()
-    kept = classes.filter(F.col("_id").eqNullSafe(F.col("_component")))
-    return docs.join(kept.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    rows, found = classes(docs, radius)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    best = rows.join(found, "fp").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th"))
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    kept = keyed.join(best, keyed["doc_id"].eqNullSafe(best["_id"]) & (keyed["_key"] == best["_th"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("_key"))
+    return kept.withColumn("_row", first).filter("_row = 1").drop("_key", "_row")

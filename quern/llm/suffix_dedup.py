@@ -317,8 +317,9 @@ def _induced(fragments: list[Fragment], length: int) -> Iterator[Found]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a 128-bit key (k1, k2) of both."""
-    return docs.select("doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "doc_id").alias("k2"))
+    """All columns of docs, text not null, with a 128-bit key (_k1, _k2) of doc_id and text."""
+    body = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    return body.withColumns({"_k1": F.xxhash64("doc_id", "text"), "_k2": F.xxhash64("text", F.lit(7), "doc_id")})
 
 
 def _anchor_rows(length: int, k: int) -> Callable:
@@ -333,7 +334,7 @@ def _anchor_rows(length: int, k: int) -> Callable:
                         rows += len(p)
                 if held and (rows > 1 << 17 or at + 1 == batch.num_rows):
                     at_row, h, packed = (np.concatenate(x) for x in zip(*held))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[0][at_row]), pa.array(keys[1][at_row]), pa.array(h), pa.array(packed)], ["k1", "k2", "h", "packed"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[0][at_row]), pa.array(keys[1][at_row]), pa.array(h), pa.array(packed)], ["_k1", "_k2", "h", "packed"])
                     held, rows = [], 0
 
     return run
@@ -365,7 +366,7 @@ def _fragment_rows(length: int, k: int) -> Callable:
 
 def _fragment_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["k1", "k2", "shard", "p", "first", "last", "raw"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["_k1", "_k2", "shard", "p", "first", "last", "raw"])
 
 
 def _shard_rows(length: int, k: int, batch_size: int) -> Callable:
@@ -379,47 +380,76 @@ def _shard_rows(length: int, k: int, batch_size: int) -> Callable:
         while some := list(islice(found, 1 << 16)):
             rows = np.array([(*f[0], f[1], f[2]) for f in some], np.int64)
             start, end = rows[:, 2] - rows[:, 4], rows[:, 2] - rows[:, 3] + length
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(start), pa.array(end)], ["k1", "k2", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(start), pa.array(end)], ["_k1", "_k2", "start", "end"])
 
     return run
 
 
-def _removed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+def _kept(raw: bytes, spans: pa.Scalar) -> tuple[bytes, int]:
+    """What stays of raw, and the number of maximal removed runs."""
+    merged: list[list[int]] = []
+    if spans.is_valid:
+        starts, ends = (spans.values.field(i).to_numpy() for i in range(2))
+        for i in np.argsort(starts, kind="stable").tolist():
+            if merged and starts[i] <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], int(ends[i]))
+            else:
+                merged.append([int(starts[i]), int(ends[i])])
+    kept = [raw[a:b] for a, b in zip([0, *[m[1] for m in merged]], [*[m[0] for m in merged], len(raw)])]
+    return b"".join(kept), len(merged)
+
+
+def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for text, spans in zip(batch.column(1), batch.column(2)):
             raw = text.as_py().encode()
-            merged: list[list[int]] = []
-            if spans.is_valid:
-                starts, ends = (spans.values.field(i).to_numpy() for i in range(2))
-                for i in np.argsort(starts, kind="stable"):
-                    if merged and starts[i] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], int(ends[i]))
-                    else:
-                        merged.append([int(starts[i]), int(ends[i])])
-            kept = b"".join([raw[a:b] for a, b in zip([0, *[m[1] for m in merged]], [*[m[0] for m in merged], len(raw)])])
-            out.append((len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[i] for o in out], t) for i, t in enumerate(kinds[1:])]], names)
+            kept, runs = _kept(raw, spans)
+            out.append((len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
+def _text_rows(names: list[str]) -> Callable:
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_kept(text.as_py().encode(), spans)[0].decode("utf-8", "ignore") for text, spans in zip(batch.column(at), batch.column(len(names)))]
+            columns = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+def with_spans(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH) -> DataFrame:
+    """All columns of docs and _spans, the (start, end) byte ranges that repeat; they may touch or overlap.
+
+    The texts are dealt by key once; both joins below read the same exchange,
+    which takes the same columns on either side.
+    """
     texts = keyed(docs)
-    found, _ = materialize(texts.select("k1", "k2", "text").mapInArrow(_anchor_rows(length, k), "k1 long, k2 long, h long, packed long"), "anchors")
+    anchored = texts.select("_k1", "_k2", "text").mapInArrow(_anchor_rows(length, k), "_k1 long, _k2 long, h long, packed long")
+    found, _ = materialize(anchored, "anchors")
     repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
-    chosen = found.join(repeated, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("packed", "h", "hot")).alias("chosen"))
+    chosen = found.join(repeated, "h").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("packed", "h", "hot")).alias("_chosen"))
     fragments = (
-        texts.join(chosen.hint("shuffle_hash"), ["k1", "k2"])
-        .select("k1", "k2", "text", "chosen")
-        .mapInArrow(_fragment_rows(length, k), "k1 long, k2 long, shard long, p long, first short, last short, raw binary")
-    )
-    spans = fragments.repartition("shard").mapInArrow(_shard_rows(length, k, batch), "k1 long, k2 long, start long, end long")
-    by_text = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return (
-        texts.join(by_text.hint("shuffle_hash"), ["k1", "k2"], "left")
-        .select("doc_id", "text", "spans")
-        .mapInArrow(_removed_rows, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        texts.join(chosen.hint("shuffle_hash"), ["_k1", "_k2"])
+        .select("_k1", "_k2", "text", "_chosen", *[c for c in docs.columns if c != "text"])
+        .mapInArrow(_fragment_rows(length, k), "_k1 long, _k2 long, shard long, p long, first short, last short, raw binary")
     )
+    spans = fragments.repartition("shard").mapInArrow(_shard_rows(length, k, batch), "_k1 long, _k2 long, start long, end long")
+    by_text = spans.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    return texts.join(by_text.hint("shuffle_hash"), ["_k1", "_k2"], "left").select(*docs.columns, "_spans")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = with_spans(docs.select("doc_id", "text"), length, k, batch)
+    return found.mapInArrow(_digest_rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH) -> DataFrame:
+    """All columns of docs, text without its repeated bytes; a character that a cut splits goes whole."""
+    return with_spans(docs, length, k, batch).mapInArrow(_text_rows(docs.columns), docs.schema)
