@@ -15,6 +15,7 @@ from quern.llm.line_dedup import line_dedup
 from quern.llm.packing import best_fit
 from quern.llm.simhash_dedup import simhash_components
 from quern.llm.suffix_dedup import remove_repeats
+from quern.llm.tool_calls import chat_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +43,28 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_lines(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP1_SQL = """WITH tagged AS (
+  SELECT *, to_json(text)::VARCHAR AS quoted,
+         CASE role WHEN 'user' THEN conv_id || '-' || turn WHEN 'assistant' THEN conv_id || '-' || (turn - 1) END AS call_id
+  FROM conversations),
+asked AS (SELECT DISTINCT call_id FROM tagged WHERE role = 'user'),
+answered AS (SELECT call_id, min(turn) AS turn FROM tagged WHERE role = 'assistant' GROUP BY call_id),
+met AS (
+  SELECT t.*, CASE role WHEN 'user' THEN r.call_id IS NOT NULL
+                        WHEN 'assistant' THEN a.call_id IS NOT NULL AND t.turn = r.turn ELSE false END AS linked
+  FROM tagged t LEFT JOIN asked a ON t.call_id = a.call_id LEFT JOIN answered r ON t.call_id = r.call_id)
+SELECT conv_id, turn, role, call_id, linked, CASE WHEN role = 'user' THEN text IS NOT NULL END AS valid,
+       CASE WHEN role = 'user' THEN 0 END AS level,
+       '{' || CASE WHEN role = 'user' THEN '"call":{"arguments":{"prompt":' || quoted || ',"turn":' || turn || '},"id":"' || call_id || '","name":"reply"},' ELSE '' END
+           || '"content":' || quoted || CASE WHEN role = 'assistant' AND linked THEN ',"result_of":"' || call_id || '"' ELSE '' END
+           || ',"role":"' || role || '","turn":' || turn || '}' AS line
+FROM met"""
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
@@ -79,6 +102,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_chat_formatting": op1_chat_formatting,
         "op3_fingerprints": op3_fingerprints,
         "op4_bpe": op4_bpe,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
@@ -91,4 +115,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op8_line_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL}
