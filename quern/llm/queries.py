@@ -11,6 +11,7 @@ from quern.llm.bpe import encode_decode
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.fingerprints import fingerprint_documents
 from quern.llm.language_id import language_id
+from quern.llm.license_scan import scan_documents
 from quern.llm.line_dedup import line_dedup
 from quern.llm.packing import best_fit
 from quern.llm.simhash_dedup import simhash_components
@@ -65,6 +66,10 @@ SELECT conv_id, turn, role, call_id, linked, CASE WHEN role = 'user' THEN text I
 FROM met"""
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(documents(spark, sf_dir))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
@@ -103,6 +108,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op2_license_scan": op2_license_scan,
         "op3_fingerprints": op3_fingerprints,
         "op4_bpe": op4_bpe,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
