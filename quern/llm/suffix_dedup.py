@@ -41,8 +41,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm.common import materialize
-
 LENGTH, K = 200, 56
 #: Fragments in one induction batch, bytes that a queue holds in memory, and fragments of an anchor from which it is split before it moves.
 BATCH, QUEUE_BYTES, HOT = 16_384, 48 << 20, 1_000_000
@@ -103,6 +101,30 @@ def text_anchors(raw: bytes, length: int = LENGTH, k: int = K) -> Iterator[tuple
         yield p + at, first, last, h
 
 
+def runs(raw: bytes, at: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(which anchors stand for themselves and those left out, the extent that each covers beyond itself).
+
+    In periodic text, anchors with equal hash and offsets follow at one
+    distance. Of three or more with equal fragments, two are enough to know
+    their windows as repeated, here and elsewhere; the second stands for the
+    rest, whose last anchor is `extent` after it.
+    """
+    stay, extent = np.ones(len(at), bool), np.zeros(len(at), np.int64)
+    like = (h[1:] == h[:-1]) & (first[1:] == first[:-1]) & (last[1:] == last[:-1])
+    step = np.diff(at)
+    for i in np.flatnonzero(like[1:] & like[:-1] & (step[1:] == step[:-1])).tolist():
+        if not stay[i] or extent[i + 1] or (i and extent[i]):
+            continue
+        end, d = i + 2, int(step[i])
+        while end + 1 < len(at) and like[end] and step[end] == d:
+            end += 1
+        a, b = int(at[i] - last[i]), int(at[end] - first[i]) + length
+        if raw[a : b - d] == raw[a + d : b]:
+            stay[i + 2 : end + 1] = False
+            extent[i + 1] = at[end] - at[i + 1]
+    return stay, extent
+
+
 def induce(order: np.ndarray, lcp: np.ndarray, group: np.ndarray, symbol: np.ndarray, width: int, present: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Prepend a symbol of `width` bytes to every suffix: the new order and common prefixes.
 
@@ -328,13 +350,16 @@ def _anchor_rows(length: int, k: int) -> Callable:
             keys = [np.asarray(batch.column(i)) for i in (0, 1)]
             held, rows = [], 0
             for at, text in enumerate(batch.column(2)):
-                for p, first, last, h in text_anchors(text.as_py().encode(), length, k):
+                raw = text.as_py().encode()
+                for p, first, last, h in text_anchors(raw, length, k):
                     if len(p):
-                        held.append((np.full(len(p), at), h.view(np.int64), p << 16 | first << 8 | last))
-                        rows += len(p)
+                        stay, extent = runs(raw, p, first, last, h, length)
+                        packed = (p << 16 | first << 8 | last)[stay]
+                        held.append((np.full(len(packed), at), h[stay].view(np.int64), packed, extent[stay]))
+                        rows += len(packed)
                 if held and (rows > 1 << 17 or at + 1 == batch.num_rows):
-                    at_row, h, packed = (np.concatenate(x) for x in zip(*held))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[0][at_row]), pa.array(keys[1][at_row]), pa.array(h), pa.array(packed)], ["_k1", "_k2", "h", "packed"])
+                    at_row, h, packed, extent = (np.concatenate(x) for x in zip(*held))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[0][at_row]), pa.array(keys[1][at_row]), pa.array(h), pa.array(packed), pa.array(extent)], ["_k1", "_k2", "h", "packed", "extent"])
                     held, rows = [], 0
 
     return run
@@ -349,11 +374,11 @@ def _fragment_rows(length: int, k: int) -> Callable:
             size = 0
             for k1, k2, text, chosen in zip(*[batch.column(i) for i in range(4)]):
                 k1, k2, raw, values = k1.as_py(), k2.as_py(), text.as_py().encode(), chosen.values
-                for packed, h, hot in zip(*[values.field(i).to_pylist() for i in range(3)]):
+                for packed, h, extent, hot in zip(*[values.field(i).to_pylist() for i in range(4)]):
                     p, first, last = packed >> 16, packed >> 8 & 255, packed & 255
-                    whole = (h, p, first, last, raw[p - last : p - first + length])
+                    whole = (h, (p, extent), first, last, raw[p - last : p - first + length])
                     for f in [whole] if not hot else [x for b in blocks if (x := narrow(whole, *b, length)) is not None]:
-                        out.append((k1, k2, *f))
+                        out.append((k1, k2, f[0], *f[1], *f[2:]))
                         size += len(f[4])
                 if size > 1 << 23:
                     yield _fragment_batch(out)
@@ -365,21 +390,21 @@ def _fragment_rows(length: int, k: int) -> Callable:
 
 
 def _fragment_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["_k1", "_k2", "shard", "p", "first", "last", "raw"])
+    kinds = [*[pa.int64()] * 5, pa.int16(), pa.int16(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["_k1", "_k2", "shard", "p", "extent", "first", "last", "raw"])
 
 
 def _shard_rows(length: int, k: int, batch_size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fragments() -> Iterator[Fragment]:
             for batch in batches:
-                k1, k2, shard, p, first, last, raw = (c.to_pylist() for c in batch.columns)
-                yield from zip(shard, zip(k1, k2, p), first, last, raw)
+                k1, k2, shard, p, extent, first, last, raw = (c.to_pylist() for c in batch.columns)
+                yield from zip(shard, zip(k1, k2, p, extent), first, last, raw)
 
         found = sort_shard(fragments(), batch_size, length, span=(0, length - k))
         while some := list(islice(found, 1 << 16)):
             rows = np.array([(*f[0], f[1], f[2]) for f in some], np.int64)
-            start, end = rows[:, 2] - rows[:, 4], rows[:, 2] - rows[:, 3] + length
+            start, end = rows[:, 2] - rows[:, 5], rows[:, 2] + rows[:, 3] - rows[:, 4] + length
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(start), pa.array(end)], ["_k1", "_k2", "start", "end"])
 
     return run
@@ -429,14 +454,14 @@ def with_spans(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = B
     which takes the same columns on either side.
     """
     texts = keyed(docs)
-    anchored = texts.select("_k1", "_k2", "text").mapInArrow(_anchor_rows(length, k), "_k1 long, _k2 long, h long, packed long")
-    found, _ = materialize(anchored, "anchors")
+    # The anchors are found twice, once to count them: that costs less than to keep them.
+    found = texts.select("_k1", "_k2", "text").mapInArrow(_anchor_rows(length, k), "_k1 long, _k2 long, h long, packed long, extent long")
     repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
-    chosen = found.join(repeated, "h").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("packed", "h", "hot")).alias("_chosen"))
+    chosen = found.join(repeated, "h").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("packed", "h", "extent", "hot")).alias("_chosen"))
     fragments = (
         texts.join(chosen.hint("shuffle_hash"), ["_k1", "_k2"])
         .select("_k1", "_k2", "text", "_chosen", *[c for c in docs.columns if c != "text"])
-        .mapInArrow(_fragment_rows(length, k), "_k1 long, _k2 long, shard long, p long, first short, last short, raw binary")
+        .mapInArrow(_fragment_rows(length, k), "_k1 long, _k2 long, shard long, p long, extent long, first short, last short, raw binary")
     )
     spans = fragments.repartition("shard").mapInArrow(_shard_rows(length, k, batch), "_k1 long, _k2 long, start long, end long")
     by_text = spans.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
