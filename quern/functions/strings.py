@@ -102,7 +102,7 @@ def format_bytes(n: str | Column, base: int = 1024) -> Column:
 def bar(x: str | Column, low: float, high: float, width: int = 80) -> Column:
     """A bar of block characters, in eighths."""
     share = (F.least(F.greatest(_c(x).cast("double"), F.lit(low)), F.lit(high)) - low) / (high - low)
-    eighths = F.round(share * width * 8).cast("int")
+    eighths = F.floor(share * width * 8).cast("int")
     full = F.floor(eighths / 8).cast("int")
     #: The block characters from one eighth to seven.
     part = F.element_at(F.array(*[F.lit(c) for c in ["", "▏", "▎", "▍", "▌", "▋", "▊", "▉"]]), (eighths % 8 + 1).cast("int"))
