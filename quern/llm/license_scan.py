@@ -25,6 +25,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quern.llm.common import materialize
+
 #: Statements by which public licences are declared.
 TEMPLATES = [
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -48,13 +50,16 @@ TEMPLATES = [
 HEADER, FILE = 0.75, 0.5
 
 
+SEPARATORS = r"(?:[^a-z0-9.-]|[.-](?![a-z0-9]))+"
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of a-z, 0-9, dots and hyphens, without the dots and hyphens at their ends; may hold ''."""
-    return F.split(F.lower(text), r"[.-]*(?:[^a-z0-9.-]+[.-]*|$)")
+    """Lower-cased runs of a-z, 0-9, and of dots and hyphens that a-z or 0-9 follow; may hold ''."""
+    return F.split(F.lower(text), SEPARATORS)
 
 
 def _tokens(text: str) -> list[str]:
-    return [t for t in re.split(r"[.-]*(?:[^a-z0-9.-]+[.-]*|$)", text.lower()) if t]
+    return [t for t in re.split(SEPARATORS, text.lower()) if t]
 
 
 def sentences(text: Column) -> Column:
@@ -141,9 +146,12 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, header:
     body = F.coalesce("text", F.lit(""))
     rows = files.select("id", "path", F.xxhash64("id", "path", "text").alias("k1"), F.xxhash64("text", F.lit(7), "path", "id").alias("k2"), body.alias("text"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("directory"))
     keys = ["k1", "k2"]
-    cuts = rows.select(*keys, F.posexplode(sentences(F.col("text"))).alias("pos", "unit"))
+    # Anchors of the lower threshold hold those of the higher: one pass finds the texts that either could match.
+    anchors = F.array(*[F.lit(t) for t in model.anchors(min(header, whole))])
+    likely, _ = materialize(rows.select(*keys, "text").filter(F.arrays_overlap(tokens(F.col("text")), anchors)), "licence-texts")
+    cuts = likely.select(*keys, F.posexplode(sentences(F.col("text"))).alias("pos", "unit"))
     headers = _best(matches(cuts, [*keys, "pos"], model, header), keys, model.names, "header")
-    wholes = _best(matches(rows.select(*keys, F.col("text").alias("unit")), keys, model, whole), keys, model.names, "file")
+    wholes = _best(matches(likely.select(*keys, F.col("text").alias("unit")), keys, model, whole), keys, model.names, "file")
     judged = rows.select("id", "path", *keys, "directory").join(headers, keys, "left").join(wholes, keys, "left")
     files_of = judged.filter(F.col("file").isNotNull() & F.col("directory").isNotNull())
     order = F.struct("file_score", (-F.array_position(F.lit(model.names), F.col("file"))).alias("o"), F.col("file").alias("license"))
