@@ -54,6 +54,7 @@ class Merges:
     """The merge list of a tokenizer file: ranks, ids, and the lookahead that suffices."""
 
     def __init__(self, path: str) -> None:
+        self.path = path
         with open(path, encoding="utf-8") as f:
             self.file = json.load(f)
         model = self.file["model"]
@@ -166,6 +167,9 @@ class Encoder:
         self.longest_special = max(map(len, merges.special), default=0)
         self.characters = byte_characters()
         self.known = Remembered(self._word)
+        #: Characters whose classes and normal forms the library sees as Python does; Unicode versions differ in the newest.
+        self.agreed = set(map(chr, range(128)))
+        self.library = None
 
     def _word(self, word: str) -> tuple[int, ...]:
         symbols = [self.characters[b] for b in word.encode()]
@@ -204,10 +208,27 @@ class Encoder:
         for piece in self.cuts(text):
             at = 0
             for m in self.special.finditer(piece) if self.special and "<|" in piece else ():
-                yield from self.pattern.findall(self.normalize(piece[at : m.start()]))
+                yield from self._words(piece[at : m.start()])
                 yield self.merges.special[m.group()]
                 at = m.end()
-            yield from self.pattern.findall(self.normalize(piece[at:] if at else piece))
+            yield from self._words(piece[at:] if at else piece)
+
+    def _words(self, piece: str) -> list[str]:
+        if not piece.isascii() and (new := set(piece) - self.agreed):
+            self.agreed |= {c for c in new if self.pattern.findall(self.normalize(f"a{c}a1{c}")) == self._library_words(f"a{c}a1{c}")}
+            if not new <= self.agreed:
+                return self._library_words(piece)
+        return self.pattern.findall(self.normalize(piece))
+
+    def _library_words(self, piece: str) -> list[str]:
+        """As the library itself normalises and splits."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.merges.path)
+            self.bytes = {c: b for b, c in enumerate(self.characters)}
+        body = self.library.normalizer.normalize_str(piece) if self.library.normalizer else piece
+        return [bytes([self.bytes[c] for c in w]).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(body)]
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []

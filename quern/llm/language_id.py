@@ -104,6 +104,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL
     return docs.mapInArrow(classify, T.StructType([*docs.schema.fields, *extra_fields]))
 
 
+def recognised(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL) -> DataFrame:
+    """The rows of docs, with all columns, that are not rejected."""
+    return identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), dictionaries, level).filter(~F.col("rejected")).select("row.*")
+
+
 def language_id(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, rejected; fitted on those not held out."""
     dictionaries = fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))

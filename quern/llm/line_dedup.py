@@ -61,21 +61,19 @@ def removed_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFram
 
 
 def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """All columns of docs, text reduced to the lines that stay, with _lines and _removed, the numbers of all and of removed lines."""
+    """row (a struct of all columns of docs, text reduced to the lines that stay), lines and removed, the numbers of all and of removed lines."""
     _, gone = removed_lines(docs, min_sites)
     body = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"_k1": F.xxhash64("doc_id", body), "_k2": F.xxhash64(body, F.lit(7), "doc_id")})
-    gone = gone.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("removed").alias("_gone"))
-    joined = rows.join(gone, ["_k1", "_k2"], "left").withColumn("_split", F.split(body, "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_split", i)), "\n"))
-    return joined.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.size("_split").cast("long").alias("_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed")
-    )
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", body).alias("k1"), F.xxhash64(body, F.lit(7), "doc_id").alias("k2"))
+    text = F.col("row.text")
+    joined = rows.join(gone, ["k1", "k2"], "left").withColumn("parts", F.split(F.coalesce(text, F.lit("")), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("removed"))
+    kept = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n"))
+    return joined.select(F.col("row").withField("text", kept).alias("row"), F.size("parts").cast("long").alias("lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("removed"))
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept_chars, kept_sha256."""
     kept = cleaned(docs.select("doc_id", "source", "text"), min_sites)
-    body = F.coalesce("text", F.lit(""))
-    return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.length(body).cast("long").alias("kept_chars"), F.sha2(body, 256).alias("kept_sha256"))
+    body = F.coalesce("row.text", F.lit(""))
+    return kept.select("row.doc_id", F.col("lines").alias("n_lines"), F.col("removed").alias("n_removed"), F.length(body).cast("long").alias("kept_chars"), F.sha2(body, 256).alias("kept_sha256"))

@@ -252,7 +252,7 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows, found = classes(docs, radius)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
     best = rows.join(found, "fp").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    kept = keyed.join(best, keyed["doc_id"].eqNullSafe(best["_id"]) & (keyed["_key"] == best["_th"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("_key"))
-    return kept.withColumn("_row", first).filter("_row = 1").drop("_key", "_row")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    kept = keyed.join(best, keyed["id"].eqNullSafe(best["_id"]) & (keyed["key"] == best["_th"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy("id", "key").orderBy("key"))
+    return kept.withColumn("place", first).filter("place = 1").select("row.*")

@@ -477,4 +477,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH) -> DataFrame:
     """All columns of docs, text without its repeated bytes; a character that a cut splits goes whole."""
-    return with_spans(docs, length, k, batch).mapInArrow(_text_rows(docs.columns), docs.schema)
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select("doc_id", "text", F.struct(*rest).alias("row"))
+    kept = with_spans(rows, length, k, batch).mapInArrow(_text_rows(rows.columns), rows.schema)
+    return kept.select(*[F.col(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
