@@ -1,15 +1,16 @@
 """SimHash near-dedup over vantage-point trees.
 
-Fingerprint: A-Z lower-cased, words between ASCII whitespace, 3-word shingles
-with repeats, XXH64 (seed 42), majority vote on each of 64 bits.
-
-Pairs: two fingerprints with at most `radius` differing bits have at most
-`radius // 2` in one of their 32-bit halves. For each half there is one
-vantage-point tree: a node keeps the values within its threshold of its
-vantage on one side, the others on the other side. A fingerprint has one home
-leaf and also visits every leaf that the triangle bound cannot rule out for
-the half's radius; so the leaves are shards that overlap at their boundaries,
-and each shard finds its exact pairs, with further vantage points, alone.
+Fingerprint: A-Z lower-cased, words between ASCII whitespace, shingles of
+`TERMS` words with repeats, XXH64 (seed 42), majority vote on each of 64 bits.
+
+Pairs: two fingerprints with at most `radius` differing bits have at most one
+in one of `radius // 2 + 1` blocks of their bits (two halves for radius 3).
+For each block there is one vantage-point tree: a node keeps the values within
+its threshold of its vantage on one side, the others on the other side. A
+fingerprint has one home leaf and also visits every leaf that the triangle
+bound cannot rule out for one differing bit; so the leaves are shards that
+overlap at their boundaries, and each shard finds its exact pairs, with further
+vantage points, alone.
 
 The tree is fitted on a bounded sample (`SAMPLE_A_LEAF` values for each of at
 most `MAX_LEAVES` leaves); it decides only where values go, never which pairs
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quern.llm.common import ascii_lower, discard, hex16, lanes, majority, materialize, words
 from quern.llm.graph import components
 
-RADIUS = 3
+RADIUS, TERMS = 3, 3
 #: Fingerprints in a shard that the tree aims at, and the bounds of what the driver holds to fit it.
 LEAF, MAX_LEAVES, SAMPLE_A_LEAF = 8192, 1 << 16, 16
 #: Pairs compared at once, and home values under which a shard stops splitting.
@@ -50,11 +51,11 @@ def shingles(w, n: int = 3):
     return F.when(w[0] == "", none).when(size < n, short).otherwise(long)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, terms: int = TERMS) -> DataFrame:
     """doc_id, th (a hash of the text) and `fp` (long) of every row's text."""
     split = docs.select("doc_id", F.xxhash64("text").alias("th"), words(ascii_lower(F.coalesce("text", F.lit("")))).alias("w"))
-    rows = split.select("doc_id", "th", F.posexplode_outer(shingles(F.col("w"))).alias("pos", "s"))
-    hashed = rows.select("doc_id", "th", F.coalesce(F.col("pos"), F.lit(0)).alias("pos"), F.when(F.col("pos").isNotNull(), F.xxhash64(F.concat_ws(" ", "s.w0", "s.w1", "s.w2"))).alias("h"))
+    rows = split.select("doc_id", "th", F.posexplode_outer(shingles(F.col("w"), terms)).alias("pos", "s"))
+    hashed = rows.select("doc_id", "th", F.coalesce(F.col("pos"), F.lit(0)).alias("pos"), F.when(F.col("pos").isNotNull(), F.xxhash64(F.concat_ws(" ", *[f"s.w{i}" for i in range(terms)]))).alias("h"))
     counted = hashed.groupBy("doc_id", "th").agg(
         F.count("h").alias("n"),
         F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("rows"),
@@ -161,15 +162,15 @@ class Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def shard_links(home: np.ndarray, query: np.ndarray, half_of, half_radius: int, radius: int, link, rng=None) -> None:
-    """Call link(home positions, query positions) for all pairs within `radius` whose halves are within `half_radius`."""
+def shard_links(home: np.ndarray, query: np.ndarray, part, part_radius: int, radius: int, link, rng=None) -> None:
+    """Call link(home positions, query positions) for all pairs within `radius` whose blocks are within `part_radius`."""
     rng = rng or np.random.default_rng(11)
     todo = [(np.arange(len(home)), np.arange(len(query)))]
     while todo:
         h, q = todo.pop()
         if not len(h) or not len(q):
             continue
-        found = choose(half_of(home[h]), rng, half_radius, 3) if len(h) > SMALL else None
+        found = choose(part(home[h]), rng, part_radius, 3) if len(h) > SMALL else None
         if found is None:
             step = max(1, BLOCK // len(h))
             for at in range(0, len(q), step):
@@ -178,20 +179,24 @@ def shard_links(home: np.ndarray, query: np.ndarray, half_of, half_radius: int,
                 link(h[j], some[i])
             continue
         vantage, t = found
-        dh, dq = bits(half_of(home[h]), vantage), bits(half_of(query[q]), vantage).astype(np.int16)
-        todo.append((h[dh <= t], q[dq - half_radius <= t]))
-        todo.append((h[dh > t], q[dq + half_radius > t]))
+        dh, dq = bits(part(home[h]), vantage), bits(part(query[q]), vantage).astype(np.int16)
+        todo.append((h[dh <= t], q[dq - part_radius <= t]))
+        todo.append((h[dh > t], q[dq + part_radius > t]))
 
 
-def low_half(v: np.ndarray) -> np.ndarray:
-    return (v & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def blocks(radius: int) -> list:
+    """Functions that take a block of bits out of 64-bit values: as many blocks as leave one of them at most one differing bit within radius."""
+    n = max(2, radius // 2 + 1)
 
+    def block(i: int):
+        low, high = 64 * i // n, 64 * (i + 1) // n
+        return lambda v: (v >> np.uint64(low) & np.uint64((1 << (high - low)) - 1)).astype(np.uint32)
 
-def high_half(v: np.ndarray) -> np.ndarray:
-    return (v >> np.uint64(32)).astype(np.uint32)
+    return [block(i) for i in range(n)]
 
 
-HALVES = (low_half, high_half)
+#: Differing bits that the block of a pair's choice has at most.
+BLOCK_RADIUS = 1
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
@@ -201,23 +206,23 @@ def links(nodes: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame
     wanted = SAMPLE_A_LEAF * leaves
     sample = nodes.select("fp").filter(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.2 * wanted / max(1, count)))).limit(2 * wanted)
     values = np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64)
-    half_radius = radius // 2
-    trees = [Tree(half(values), leaves, half_radius) for half in HALVES]
+    parts = blocks(radius)
+    trees = [Tree(part(values), leaves, BLOCK_RADIUS) for part in parts]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.asarray(batch.column(0)).astype(np.int64, copy=False)
-            for k, half in enumerate(HALVES):
-                index, where, home = trees[k].route(half(fps.view(np.uint64)))
+            for k, part in enumerate(parts):
+                index, where, home = trees[k].route(part(fps.view(np.uint64)))
                 for at in range(0, len(index), 1 << 18):
                     cut = slice(at, at + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(where[cut] * 2 + k, pa.int32()), pa.array(fps[index[cut]]), pa.array(home[cut])], ["shard", "fp", "home"])
+                    yield pa.RecordBatch.from_arrays([pa.array(where[cut] * len(parts) + k, pa.int32()), pa.array(fps[index[cut]]), pa.array(home[cut])], ["shard", "fp", "home"])
 
     def pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         query = rows["fp"].to_numpy(np.int64).view(np.uint64)
         own = np.flatnonzero(rows["home"].to_numpy(bool))
         forest = Forest(len(query))
-        shard_links(query[own], query, HALVES[key[0] % 2], half_radius, radius, lambda h, q: forest.link(own[h], q))
+        shard_links(query[own], query, parts[key[0] % len(parts)], BLOCK_RADIUS, radius, lambda h, q: forest.link(own[h], q))
         root = forest.find(np.arange(len(query)))
         moved = np.flatnonzero(root != np.arange(len(query)))
         return pd.DataFrame({"u": query[moved].view(np.int64), "v": query[root[moved]].view(np.int64)})
@@ -226,9 +231,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame
     return routed.groupBy("shard").applyInPandas(pairs, "u long, v long")
 
 
-def classes(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, radius: int = RADIUS, terms: int = TERMS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, fp of every row; fp, root, component_id of every fingerprint)."""
-    rows, _ = materialize(fingerprints(docs), "fingerprints")
+    rows, _ = materialize(fingerprints(docs, terms), "fingerprints")
     nodes, nodes_path = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes, radius))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -244,12 +249,12 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(found, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_dedup(docs: DataFrame, radius: int = RADIUS, terms: int = TERMS) -> DataFrame:
     """The one document of each component that stays, with all its columns: the smallest doc_id, of equals one text, of repeated rows one.
 
     Rows without doc_id stay only where their component has no other.
     """
-    rows, found = classes(docs, radius)
+    rows, found = classes(docs, radius, terms)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
     best = rows.join(found, "fp").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))

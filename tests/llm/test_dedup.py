@@ -6,13 +6,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from quern.llm.graph import components
 from quern.llm.line_dedup import cleaned, line_dedup
 from quern.llm.packing import best_fit, cut, sweeps
 from quern.llm.queries import tokenizer
-from quern.llm.simhash_dedup import Forest, Tree, high_half, links, low_half, near_dedup, shard_links, simhash_components
+from quern.llm.simhash_dedup import Forest, Tree, blocks, links, near_dedup, shard_links, simhash_components
 from quern.llm.suffix_dedup import narrow, remove_repeats, runs, sort_shard, text_anchors, without_repeats
 from tests.llm.helpers import awkward, nothing, texts
 
@@ -129,17 +130,18 @@ def clustered(n, seed=2):
     return np.unique(np.r_[base, base ^ flips, base[:20] ^ np.uint64(1 << 40)])
 
 
-def test_trees_lose_no_pair():
-    values = clustered(1500)
-    pairs = {(i, int(j)) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= 3) if j > i}
+@pytest.mark.parametrize("radius", [3, 5, 7])
+def test_trees_lose_no_pair(radius):
+    values = clustered(1200)
+    pairs = {(i, int(j)) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= radius) if j > i}
     found = set()
-    for half in (low_half, high_half):
-        tree = Tree(half(values)[::3], 16, 1)
-        index, leaf, home = tree.route(half(values))
+    for part in blocks(radius):
+        tree = Tree(part(values)[::3], 16, 1)
+        index, leaf, home = tree.route(part(values))
         assert tree.leaves > 8 and sorted(index[home].tolist()) == list(range(len(values)))
         for shard in range(tree.leaves):
             q, own = index[leaf == shard], index[(leaf == shard) & home]
-            shard_links(values[own], values[q], half, 1, 3, lambda h, x, own=own, q=q: found.update((min(a, b), max(a, b)) for a, b in zip(own[h].tolist(), q[x].tolist()) if a != b))
+            shard_links(values[own], values[q], part, 1, radius, lambda h, x, own=own, q=q: found.update((min(a, b), max(a, b)) for a, b in zip(own[h].tolist(), q[x].tolist()) if a != b))
     assert found == pairs
 
 
