@@ -5,7 +5,8 @@ from pyspark.sql import functions as F, types as T
 from quern.functions import udfs as U
 from quern.operators import dml
 from quern.plans.registry import frame_query, sql_query
-from quern.session import table
+from quern.session import register, table
+from quern.sources import catalog as C
 
 _N = "FROM nation"
 frame_query("dml_insert", lambda s, d: dml.insert(table(s, d, "region"), s.createDataFrame([(9, "NOWHERE")], "r_regionkey int, r_name string")), "SELECT * FROM region UNION ALL SELECT 9, 'NOWHERE'")
@@ -72,3 +73,29 @@ def _udtf(s, d):
 
 
 frame_query("udf_table", _udtf, "SELECT CAST(range AS INT) AS n, CAST(range * range AS INT) AS square FROM range(1, 13)")
+
+
+def _catalog(s, d):
+    register(s, d, ["nation"])
+    return C.columns(s, "nation").select("column_name", "ordinal")
+
+
+frame_query("catalog_columns", _catalog, "SELECT column_name, ordinal_position::INT AS ordinal FROM information_schema.columns WHERE table_name = 'nation'")
+frame_query("table_repeat", lambda s, d: C.repeat(table(s, d, "region"), 3), "SELECT region.* FROM region, range(3)")
+frame_query("table_histogram", lambda s, d: C.histogram_table(table(s, d, "customer"), "c_custkey", 5).select("n"),
+            "WITH r AS (SELECT min(c_custkey) AS lo, max(c_custkey) AS hi FROM customer) SELECT count(*) AS n FROM customer, r GROUP BY least(floor((c_custkey - lo) / ((hi - lo) / 5.0)), 4)")
+
+
+def _query_table(s, d):
+    register(s, d, ["region", "nation"])
+    s.sql("CREATE OR REPLACE TEMP VIEW names AS SELECT n_name AS name FROM nation")
+    s.sql("CREATE OR REPLACE TEMP VIEW regions AS SELECT r_name AS name FROM region")
+    return C.query_table(s, ["names", "regions"])
+
+
+frame_query("table_query_table", _query_table, "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")
+sql_query("view_and_explain", "orders", "SELECT o_orderstatus, count(*) AS n FROM (SELECT * FROM orders WHERE o_totalprice > 1000) AS v GROUP BY o_orderstatus")
+sql_query("order_by_all", "nation", "SELECT n_regionkey, n_name FROM nation ORDER BY ALL LIMIT 7")
+sql_query("collation_nocase", "part", "SELECT p_partkey FROM part WHERE p_name COLLATE UTF8_LCASE = 'RED WIDGET'", "SELECT p_partkey FROM part WHERE p_name COLLATE NOCASE = 'RED WIDGET'")
+sql_query("between_in", "part", "SELECT p_partkey FROM part WHERE p_size NOT BETWEEN 5 AND 45 AND p_brand IN ('Brand#1', 'Brand#2') AND p_type NOT IN ('ECONOMY')")
+sql_query("try_expressions", "customer", "SELECT c_custkey, try_divide(c_acctbal, c_custkey - c_custkey) AS d, try_add(c_custkey, 1) AS a FROM customer", "SELECT c_custkey, CAST(NULL AS DOUBLE) AS d, c_custkey + 1 AS a FROM customer")
