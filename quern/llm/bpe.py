@@ -24,13 +24,14 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from quern.llm.common import resident, small_batches
+
 #: Characters that `Encoder.feed` gathers before it looks for a place to cut, and words a worker remembers.
 PIECE, CACHE = 1 << 15, 1 << 18
 #: Symbols that a word's window takes in at a time, besides the lookahead.
@@ -205,13 +206,16 @@ class Encoder:
 
     def words(self, text: str) -> Iterator[str | int]:
         """Words of a text, and the ids of special tokens in it."""
+        return chain.from_iterable(self._lists(text))
+
+    def _lists(self, text: str) -> Iterator[list]:
         for piece in self.cuts(text):
             at = 0
             for m in self.special.finditer(piece) if self.special and "<|" in piece else ():
-                yield from self._words(piece[at : m.start()])
-                yield self.merges.special[m.group()]
+                yield self._words(piece[at : m.start()])
+                yield [self.merges.special[m.group()]]
                 at = m.end()
-            yield from self._words(piece[at:] if at else piece)
+            yield self._words(piece[at:] if at else piece)
 
     def _words(self, piece: str) -> list[str]:
         if not piece.isascii() and (new := set(piece) - self.agreed):
@@ -313,21 +317,16 @@ class Digester:
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
-@lru_cache(2)
-def digester(path: str) -> Digester:
-    """One for each Python worker, so that its words stay known from task to task."""
-    return Digester(Merges(path))
-
-
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256. `path` must be readable on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = digester(path).digest
+        digest = resident(("bpe", path), lambda: Digester(Merges(path))).digest
         for batch in batches:
             out = [digest(text.as_py() or "") for text in batch.column(1)]
             columns = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     schema = docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -47,6 +47,29 @@ def discard(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of an Arrow batch: several copies of one are in a Python worker at a time.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, as texts may be long, unless they are bounded tighter."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(c for c in str(spark.conf.get(key, "67108864b")) if c.isdigit()) or 0)
+    if now == 0 or now > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+_RESIDENT: dict = {}
+
+
+def resident(key, make):
+    """An object that a Python worker keeps from task to task, one at a time: asking for another frees it."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -80,3 +103,19 @@ def majority(counts: list[Column], total: Column) -> Column:
 def hex16(fingerprint: Column) -> Column:
     """16 lowercase hex digits of a long."""
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
+
+
+#: Groups with over 1 in HOT_SHARE of the rows, and over HOT_ROWS rows, are joined apart; there are at most HOT_SHARE of them.
+HOT_SHARE, HOT_ROWS = 1000, 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows with the columns of their group; groups has one row a key and in `size` its number of rows, of `total`.
+
+    The few hot groups are broadcast, so their rows stay where they are; the
+    others, each a small share, meet their rows in a shuffle.
+    """
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(groups.filter(F.col(size) > limit))
+    cold = rows.join(hot.select(key), key, "left_anti").join(groups.filter(F.col(size) <= limit), key)
+    return rows.join(hot, key).unionByName(cold)

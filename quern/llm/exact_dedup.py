@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quern.llm.common import join_groups
+
 #: A chunk has 1024 characters at least and ends at the next sentence or line end, at 4096 at the latest.
 MIN_CHUNK, MAX_CHUNK = 1024, 4096
 
@@ -57,12 +59,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the largest doc_id stays. The group table has one row per
-    distinct recipe (summed map-side), so a hot group is one row of it; its many
-    documents meet it in a join that adaptive execution can split.
+    distinct recipe, summed map-side; the rows of hot groups do not move to it.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
     rows = recipes(docs.select("doc_id", "text")).select("doc_id", "recipe", F.sha2(body, 256).alias("text_sha256"))
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, "recipe").select(
+    return join_groups(rows, groups, "recipe", "group_size", docs.count()).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

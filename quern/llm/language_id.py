@@ -27,6 +27,8 @@ import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from quern.llm.common import resident, small_batches
+
 SAMPLE, EXCERPT, LEVEL, MARGIN = 256, 1024, 6, 1
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -94,19 +96,22 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL
     at = schema.index("text")
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Classifier(dictionaries, level)
+        model = resident(("languages", level, hash(tuple(dictionaries.items()))), lambda: Classifier(dictionaries, level))
         for batch in batches:
             found = [model.predict(x.as_py()) for x in batch.column(at)]
             extra = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*schema, "lang_pred", "score", "rejected"])
 
+    small_batches(docs.sparkSession)
     extra_fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     return docs.mapInArrow(classify, T.StructType([*docs.schema.fields, *extra_fields]))
 
 
 def recognised(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL) -> DataFrame:
     """The rows of docs, with all columns, that are not rejected."""
-    return identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), dictionaries, level).filter(~F.col("rejected")).select("row.*")
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    kept = identify(docs.select(rest, "text"), dictionaries, level).filter(~F.col("rejected"))
+    return kept.select(*[F.col(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -21,14 +21,13 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quern.llm.bpe import Encoder, Merges, Remembered
-from quern.llm.common import materialize
+from quern.llm.common import materialize, resident, small_batches
 
 CAPACITY, END_ID = 1024, 2
 #: Rows of the table of matches up to which it is broadcast.
@@ -57,12 +56,6 @@ class Ids:
         return b"".join(map(self.known.__getitem__, self.encoder.words(text)))
 
 
-@lru_cache(2)
-def ids_of(path: str) -> Ids:
-    """One for each Python worker."""
-    return Ids(path)
-
-
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: full ones, the first may be shorter."""
     first = n % capacity or capacity
@@ -74,7 +67,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ids_of(path)
+        encode = resident(("ids", path), lambda: Ids(path))
         for batch in batches:
             rows, out = [], []
             for at, text in enumerate(batch.column(1)):
@@ -86,6 +79,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(values[:, 0].astype(np.int32)), *[pa.array(values[:, i]) for i in (1, 2, 3)]]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     schema = docs.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

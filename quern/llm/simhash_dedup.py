@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quern.llm.common import ascii_lower, discard, hex16, lanes, majority, materialize, words
+from quern.llm.common import ascii_lower, discard, hex16, join_groups, lanes, majority, materialize, resident, small_batches, words
 from quern.llm.graph import components
 
 RADIUS, TERMS = 3, 3
@@ -210,6 +210,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame
     trees = [Tree(part(values), leaves, BLOCK_RADIUS) for part in parts]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("fingerprints", dict)
         for batch in batches:
             fps = np.asarray(batch.column(0)).astype(np.int64, copy=False)
             for k, part in enumerate(parts):
@@ -227,18 +228,19 @@ def links(nodes: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame
         moved = np.flatnonzero(root != np.arange(len(query)))
         return pd.DataFrame({"u": query[moved].view(np.int64), "v": query[root[moved]].view(np.int64)})
 
+    small_batches(nodes.sparkSession)
     routed = nodes.select("fp").mapInArrow(route, "shard int, fp long, home boolean")
     return routed.groupBy("shard").applyInPandas(pairs, "u long, v long")
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, terms: int = TERMS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, fp of every row; fp, root, component_id of every fingerprint)."""
+    """(doc_id, th, fp of every row; fp, its number of rows n, root, component_id of every fingerprint)."""
     rows, _ = materialize(fingerprints(docs, terms), "fingerprints")
-    nodes, nodes_path = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes, nodes_path = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = components(links(nodes, radius))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    found, _ = materialize(placed.join(named, "root").select("fp", "root", "component_id"), "classes")
+    found, _ = materialize(placed.join(named, "root").select("fp", "n", "root", "component_id"), "classes")
     discard(docs.sparkSession, nodes_path)
     return rows, found
 
@@ -246,7 +248,7 @@ def classes(docs: DataFrame, radius: int = RADIUS, terms: int = TERMS) -> tuple[
 def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id (smallest doc_id reachable by links)."""
     rows, found = classes(docs, radius)
-    return rows.join(found, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    return join_groups(rows, found, "fp", "n", rows.count()).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, terms: int = TERMS) -> DataFrame:
@@ -256,7 +258,7 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, terms: int = TERMS) -> Dat
     """
     rows, found = classes(docs, radius, terms)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
-    best = rows.join(found, "fp").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th"))
+    best = join_groups(rows, found, "fp", "n", rows.count()).groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
     kept = keyed.join(best, keyed["id"].eqNullSafe(best["_id"]) & (keyed["key"] == best["_th"]), "left_semi")
     first = F.row_number().over(Window.partitionBy("id", "key").orderBy("key"))

@@ -41,6 +41,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quern.llm.common import resident, small_batches
+
 LENGTH, K = 200, 56
 #: Fragments in one induction batch, bytes that a queue holds in memory, and fragments of an anchor from which it is split before it moves.
 BATCH, QUEUE_BYTES, HOT = 16_384, 48 << 20, 1_000_000
@@ -346,6 +348,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def _anchor_rows(length: int, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("suffixes", dict)
         for batch in batches:
             keys = [np.asarray(batch.column(i)) for i in (0, 1)]
             held, rows = [], 0
@@ -369,6 +372,7 @@ def _fragment_rows(length: int, k: int) -> Callable:
     blocks = [(at, min(at + 15, length - k)) for at in range(0, length - k + 1, 16)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("suffixes", dict)
         for batch in batches:
             out: list[tuple] = []
             size = 0
@@ -396,6 +400,7 @@ def _fragment_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _shard_rows(length: int, k: int, batch_size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("suffixes", dict)
         def fragments() -> Iterator[Fragment]:
             for batch in batches:
                 k1, k2, shard, p, extent, first, last, raw = (c.to_pylist() for c in batch.columns)
@@ -439,6 +444,7 @@ def _text_rows(names: list[str]) -> Callable:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("suffixes", dict)
         for batch in batches:
             texts = [_kept(text.as_py().encode(), spans)[0].decode("utf-8", "ignore") for text, spans in zip(batch.column(at), batch.column(len(names)))]
             columns = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))]
@@ -453,6 +459,7 @@ def with_spans(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = B
     The texts are dealt by key once; both joins below read the same exchange,
     which takes the same columns on either side.
     """
+    small_batches(docs.sparkSession)
     texts = keyed(docs)
     # The anchors are found twice, once to count them: that costs less than to keep them.
     found = texts.select("_k1", "_k2", "text").mapInArrow(_anchor_rows(length, k), "_k1 long, _k2 long, h long, packed long, extent long")

@@ -34,6 +34,13 @@ def test_exact_dedup(spark):
     assert exact_dedup(nothing(spark)).count() == 0
 
 
+def test_hot_groups_are_joined_apart(spark):
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1200, "the same").otherwise(F.concat(F.lit("own "), (F.col("id") / 2).cast("int"))).alias("text"))
+    found = exact_dedup(docs)
+    assert found.count() == 1500 and {(r["keep_id"], r["group_size"]) for r in found.filter("doc_id < 1200").collect()} == {(1199, 1200)}
+    assert found.filter("doc_id >= 1200 AND group_size = 2").count() == 300
+
+
 def test_chunks_are_whole_and_follow_content(spark):
     body = "".join(f"sentence number {i} of this text. " for i in range(400))
     cut = lambda t: spark.range(1).select(chunks(F.lit(t)).alias("c")).first()["c"]
