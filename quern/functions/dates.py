@@ -177,6 +177,21 @@ def interval_text(years: Column, months_: Column, days: Column) -> Column:
     return F.concat_ws(" ", part(years, "year"), part(months_, "month"), part(days, "day"))
 
 
+def age(a, b) -> Column:
+    """a - b in years, months and days, as text; times of day are left out."""
+    whole = date_sub("month", b, a)
+    days = F.datediff(_c(a), F.add_months(_c(b).cast("date"), whole.cast("int")))
+    years, rest = F.call_function("div", whole, F.lit(12).cast("long")), whole % 12
+    return interval_text(years, rest, days)
+
+
+def to_interval(n, part: str) -> Column:
+    """An interval of n parts, to add to dates; it cannot leave a plan as a value."""
+    scale = {"decades": ("years", 10), "centuries": ("years", 100), "millennia": ("years", 1000), "quarters": ("months", 3), "minutes": ("mins", 1), "seconds": ("secs", 1)}
+    name, times = scale.get(part, (part, 1))
+    return F.make_interval(**{name: _c(n) * times})
+
+
 def dayname(ts) -> Column:
     return F.date_format(_c(ts), "EEEE")
 

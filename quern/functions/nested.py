@@ -20,6 +20,16 @@ def struct_insert(s, **fields: Column) -> Column:
     return out
 
 
+def struct_concat(df_or_fields: dict[str, Column]) -> Column:
+    """A struct of all the given fields, in order."""
+    return F.struct(*[c.alias(n) for n, c in df_or_fields.items()])
+
+
+def remap_struct(s, mapping: dict[str, str]) -> Column:
+    """A struct with fields renamed and chosen: new name -> old name."""
+    return F.struct(*[_c(s)[old].alias(new) for new, old in mapping.items()])
+
+
 def map_extract(m, key) -> Column:
     """A list with the value, or an empty one."""
     value = F.try_element_at(_c(m), key)

@@ -33,7 +33,7 @@ def frame_query(name: str, run: Query, oracle: str | None = None) -> None:
 
 
 def _load() -> None:
-    from quern.plans import aggregates, bitmap, nested, relational, scalars, streaming, surface, tpch  # noqa: F401
+    from quern.plans import aggregates, bitmap, extra, nested, relational, scalars, streaming, surface, tpch  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

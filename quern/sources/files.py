@@ -84,6 +84,11 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None, lines:
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """JSON lines, timestamps to the microsecond."""
+    df.write.mode(mode).options(timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+
+
 def read_json_objects(spark: SparkSession, path: str) -> DataFrame:
     """Each line's JSON as text."""
     return spark.read.text(path).select(F.col("value").alias("json"))

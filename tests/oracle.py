@@ -1,4 +1,4 @@
-"""Comparison of a Spark result with DuckDB's, order-insensitive, with floats to nine digits."""
+"""Comparison of a Spark result with the oracle engine's, order-insensitive, with floats to nine digits."""
 
 import datetime
 import decimal
