@@ -101,3 +101,16 @@ def test_dml(spark):
     assert got(dml.update(t, F.col("v") == "a", v=F.lit("z"))) == [(1, "z"), (2, None)]
     assert got(dml.delete(t, F.col("v") == "a")) == [(2, None)]
     assert got(dml.upsert(t, spark.createDataFrame([(2, "n"), (3, "m")], t.schema), ["id"])) == [(1, "a"), (2, "n"), (3, "m")]
+
+
+def test_stored_indexes_and_numbers(spark, small, capsys):
+    from quern.plans.bitmap import bm_tpch, load_bitmap
+
+    found = load_bitmap(spark, small, "discount", "quantity", "nonsense")
+    assert set(found) == {"discount", "quantity"} and "nonsense" in capsys.readouterr().out
+    few = B.count(B.conjunction(B.range_or(found["discount"], 5, 3), B.range_or(found["quantity"], 0, 23))).first()["n"]
+    lineitem = spark.read.parquet(f"{small}/lineitem.parquet")
+    assert few == lineitem.filter("l_discount BETWEEN 0.045 AND 0.075 AND l_quantity < 24").count()
+    assert bm_tpch(spark, small, 6).count() == 1 and bm_tpch(spark, small, 1).count() > 1
+    with pytest.raises(ValueError):
+        bm_tpch(spark, small, 23)
