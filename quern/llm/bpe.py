@@ -138,6 +138,15 @@ def transduce(symbols: Iterable[str], merges: Merges, step: int = STEP) -> Itera
         fill = max(fill, len(window) + step) if at == 0 else look + step
 
 
+def latin(text: str) -> bool:
+    """Whether all characters are below U+0100, where Unicode versions agree."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Remembered(dict):
     """Results by word, found when first asked for; forgets all once there are CACHE of them."""
 
@@ -169,7 +178,7 @@ class Encoder:
         self.characters = byte_characters()
         self.known = Remembered(self._word)
         #: Characters whose classes and normal forms the library sees as Python does; Unicode versions differ in the newest.
-        self.agreed = set(map(chr, range(128)))
+        self.agreed = set(map(chr, range(256)))
         self.library = None
 
     def _word(self, word: str) -> tuple[int, ...]:
@@ -218,7 +227,7 @@ class Encoder:
             yield self._words(piece[at:] if at else piece)
 
     def _words(self, piece: str) -> list[str]:
-        if not piece.isascii() and (new := set(piece) - self.agreed):
+        if not latin(piece) and (new := set(piece) - self.agreed):
             self.agreed |= {c for c in new if self.pattern.findall(self.normalize(f"a{c}a1{c}")) == self._library_words(f"a{c}a1{c}")}
             if not new <= self.agreed:
                 return self._library_words(piece)
