@@ -24,6 +24,8 @@ sql_query("lateral_alias", "part", "SELECT p_partkey, p_retailprice * 1.1 AS gro
           "SELECT p_partkey, p_retailprice * 1.1 AS gross, CAST(trunc(gross) AS BIGINT) AS whole FROM part WHERE p_size > 40")
 sql_query("unnest_list", "documents", "SELECT doc_id, explode(split(lang, '')) AS letter FROM documents WHERE doc_id < 50 AND lang IS NOT NULL",
           "SELECT doc_id, unnest(string_split(lang, '')) AS letter FROM documents WHERE doc_id < 50 AND lang IS NOT NULL")
+sql_query("unnest_list_all", "documents", "SELECT doc_id, explode(split(lang, '')) AS letter FROM documents WHERE lang IS NOT NULL",
+          "SELECT doc_id, unnest(string_split(lang, '')) AS letter FROM documents WHERE lang IS NOT NULL")
 frame_query("unnest_zipped", lambda s, d: explode_zipped(table(s, d, "nation").withColumns({"a": F.sequence(F.lit(1), F.lit(3)), "b": F.sequence("n_regionkey", F.col("n_regionkey") + 1)}), ["n_nationkey"], x=F.col("a"), y=F.col("b")),
             "SELECT n_nationkey, unnest([1, 2, 3]) AS x, unnest([n_regionkey, n_regionkey + 1]) AS y FROM nation")
 
@@ -165,6 +167,8 @@ frame_query("pivot_multi", lambda s, d: pivot(table(s, d, "lineitem"), ["l_lines
  count(*) FILTER (l_returnflag = 'N') AS "N_n", sum(l_quantity) FILTER (l_returnflag = 'R') AS "R_qty", count(*) FILTER (l_returnflag = 'R') AS "R_n" FROM lineitem GROUP BY l_linestatus""")
 frame_query("unpivot", lambda s, d: unpivot(table(s, d, "lineitem").filter("l_orderkey < 100").select("l_orderkey", "l_quantity", "l_discount", "l_tax"), ["l_orderkey"], ["l_quantity", "l_discount", "l_tax"]),
             "UNPIVOT (SELECT l_orderkey, l_quantity, l_discount, l_tax FROM lineitem WHERE l_orderkey < 100) ON l_quantity, l_discount, l_tax INTO NAME name VALUE value")
+frame_query("unpivot_all", lambda s, d: unpivot(table(s, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax"), ["l_orderkey"], ["l_quantity", "l_discount", "l_tax"]),
+            "UNPIVOT (SELECT l_orderkey, l_quantity, l_discount, l_tax FROM lineitem) ON l_quantity, l_discount, l_tax INTO NAME name VALUE value")
 frame_query("summarize", lambda s, d: summarize(table(s, d, "customer")).select("column_name", "min", "max", "count", F.round("avg", 4).alias("avg")),
             """SELECT 'c_custkey' AS column_name, min(c_custkey)::VARCHAR AS min, max(c_custkey)::VARCHAR AS max, count(*) AS count, round(avg(c_custkey), 4) AS avg FROM customer
 UNION ALL SELECT 'c_name', min(c_name), max(c_name), count(*), NULL FROM customer UNION ALL SELECT 'c_nationkey', min(c_nationkey)::VARCHAR, max(c_nationkey)::VARCHAR, count(*), round(avg(c_nationkey), 4) FROM customer
