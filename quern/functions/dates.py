@@ -178,11 +178,15 @@ def interval_text(years: Column, months_: Column, days: Column) -> Column:
 
 
 def age(a, b) -> Column:
-    """a - b in years, months and days, as text; times of day are left out."""
-    whole = date_sub("month", b, a)
-    days = F.datediff(_c(a), F.add_months(_c(b).cast("date"), whole.cast("int")))
-    years, rest = F.call_function("div", whole, F.lit(12).cast("long")), whole % 12
-    return interval_text(years, rest, days)
+    """a - b in years, months and days, as text; whole days, and days that are short borrow the month of the earlier date."""
+    early, late = [f(_c(a).cast("timestamp_ntz"), _c(b).cast("timestamp_ntz")) for f in (F.least, F.greatest)]
+    sign = F.when(_c(a) < _c(b), -1).otherwise(1)
+    clock = [micros(x) - micros(F.date_trunc("day", x)) for x in (early, late)]
+    days = F.dayofmonth(late) - F.dayofmonth(early) - F.when(clock[1] < clock[0], 1).otherwise(0)
+    whole = months(late) - months(early) - F.when(days < 0, 1).otherwise(0)
+    days = days + F.when(days < 0, F.dayofmonth(F.last_day(early))).otherwise(0)
+    text = interval_text(sign * F.floor(whole / 12), sign * (whole % 12), sign * days)
+    return F.when(_c(a).isNotNull() & _c(b).isNotNull(), text)
 
 
 def to_interval(n, part: str) -> Column:

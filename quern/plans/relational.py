@@ -4,7 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from quern.operators.joins import all_match, any_match, asof_join, overlap_join, range_join, salted_join
 from quern.operators.recursive import reachable, recursive_using_key
-from quern.operators.relational import columns, distinct_on, exclude, explode_zipped, limit_percent, pivot, positional_join, qualify, replace, reservoir, bernoulli, summarize, union_by_name, unpivot
+from quern.operators.relational import columns, distinct_on, exclude, explode_zipped, limit_percent, numbered, pivot, positional_join, qualify, replace, reservoir, bernoulli, summarize, union_by_name, unpivot
 from quern.plans.registry import frame_query, sql_query
 from quern.session import table
 
@@ -147,6 +147,8 @@ frame_query("cte_recursive_using_key", _distances, """WITH RECURSIVE r(node, dis
 
 # Sorting, limits, samples
 sql_query("order_nulls", "documents", "SELECT doc_id, lang FROM documents ORDER BY lang DESC NULLS LAST, doc_id LIMIT 20")
+frame_query("order_nulls_all", lambda s, d: numbered(table(s, d, "documents").select("doc_id", "lang"), [F.col("lang").desc_nulls_last(), F.col("doc_id")], "place"),
+            "SELECT doc_id, lang, row_number() OVER (ORDER BY lang DESC NULLS LAST, doc_id) AS place FROM documents")
 sql_query("top_n", "lineitem", "SELECT l_orderkey, l_partkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_partkey LIMIT 25")
 sql_query("limit_offset", "orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 95")
 frame_query("limit_percent", lambda s, d: limit_percent(table(s, d, "customer").select("c_custkey"), 5, [F.col("c_custkey")]), "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 5%")

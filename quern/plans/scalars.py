@@ -38,6 +38,8 @@ frame_query("str_format", _strings(lambda: dict(a=F.format_string("%05d|%s", "c_
 frame_query("str_bar", _strings(lambda: dict(a=S.bar("c_custkey", 0, 1500, 10))), f"SELECT c_custkey, bar(c_custkey, 0, 1500, 10) AS a {_C}")
 frame_query("str_unicode", lambda s, d: table(s, d, "documents").select("doc_id", S.strip_accents(F.left("text", F.lit(80))).alias("a"), S.nfc_normalize(F.left("text", F.lit(40))).alias("b"), S.length_grapheme("text").alias("g")),
             "SELECT doc_id, strip_accents(left(text, 80)) AS a, nfc_normalize(left(text, 40)) AS b, length_grapheme(text) AS g FROM documents")
+frame_query("str_unicode_all", lambda s, d: table(s, d, "documents").select("doc_id", S.strip_accents("text").alias("a"), S.nfc_normalize("text").alias("b"), S.length_grapheme("text").alias("g")),
+            "SELECT doc_id, strip_accents(text) AS a, nfc_normalize(text) AS b, length_grapheme(text) AS g FROM documents")
 frame_query("str_url_path", lambda s, d: table(s, d, "pages").select("page_id", S.url_encode("url").alias("e"), F.url_decode(F.replace(S.url_encode("url"), F.lit("+"), F.lit("%2B"))).alias("d"), S.parse_filename("url").alias("f"), S.parse_dirname("url").alias("dn"), S.parse_dirpath("url").alias("dp"), S.parse_path("url").alias("p")),
             "SELECT page_id, url_encode(url) AS e, url AS d, parse_filename(url) AS f, parse_dirname(url) AS dn, parse_dirpath(url) AS dp, list_filter(string_split(url, '/'), lambda x: x <> '') AS p FROM pages")
 frame_query("str_extract_char", _strings(lambda: dict(a=F.substring("c_name", 2, 1))), f"SELECT c_custkey, c_name[2] AS a {_C}")

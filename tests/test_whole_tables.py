@@ -18,3 +18,34 @@ def test_every_row(spark, small, name, table, times):
 def test_every_list_is_unnested(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").filter("lang IS NOT NULL")
     assert registry.queries()["unnest_list_all"](spark, small).select("doc_id").distinct().count() == docs.count()
+
+
+def test_age_borrows_the_earlier_month(spark):
+    from pyspark.sql import functions as F
+
+    from quern.functions import dates as D
+
+    cases = [
+        ("2005-06-15 00:00:00", "1996-02-20 00:00:00", "9 years 3 months 24 days"),
+        ("2005-06-15 00:00:00", "1997-02-20 00:00:00", "8 years 3 months 23 days"),
+        ("1996-02-20 00:00:00", "2005-06-15 00:00:00", "-9 years -3 months -24 days"),
+        ("2005-06-15 00:00:00", "2005-01-31 00:00:00", "4 months 15 days"),
+        ("2005-06-15 00:00:00", None, None),
+    ]
+    rows = spark.createDataFrame(cases, "a string, b string, want string")
+    found = rows.select("want", D.age(F.col("a").cast("timestamp_ntz"), F.col("b").cast("timestamp_ntz")).alias("got")).collect()
+    assert [r["got"] for r in found] == [r["want"] for r in found]
+
+
+def test_whole_texts_and_null_places(spark, tmp_path):
+    text = "x" * 100 + " e\u0301 \u00e9"
+    spark.createDataFrame([(i, text, None if i == 30 else "en") for i in range(31)], "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["str_unicode_all"](spark, str(tmp_path)).first()
+    assert (got["a"], got["b"]) == ("x" * 100 + " e e", "x" * 100 + " \u00e9 \u00e9")
+    places = {r["doc_id"]: r["place"] for r in registry.queries()["order_nulls_all"](spark, str(tmp_path)).collect()}
+    assert len(places) == 31 and places[30] == 31
+
+
+def test_all_orders_have_an_age(spark, small):
+    orders = spark.read.parquet(f"{small}/orders.parquet").count()
+    assert registry.queries()["date_age_all"](spark, small).filter("a <> ''").count() == orders
