@@ -199,8 +199,8 @@ def blocks(radius: int) -> list:
 BLOCK_RADIUS = 1
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (column fp) that connect all pairs within `radius`."""
+def links(nodes: DataFrame, radius: int = RADIUS, leaf: int = LEAF, every: bool = False) -> DataFrame:
+    """Links (u, v) between distinct fingerprints (column fp) that connect all pairs within `radius`; `every`: all these pairs, some repeatedly."""
     count = nodes.count()
     leaves = min(MAX_LEAVES, max(1, count // leaf))
     wanted = SAMPLE_A_LEAF * leaves
@@ -228,9 +228,22 @@ def links(nodes: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame
         moved = np.flatnonzero(root != np.arange(len(query)))
         return pd.DataFrame({"u": query[moved].view(np.int64), "v": query[root[moved]].view(np.int64)})
 
+    def all_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        query = rows["fp"].to_numpy(np.int64).view(np.uint64)
+        own = np.flatnonzero(rows["home"].to_numpy(bool))
+        found = [np.empty((0, 2), np.int64)]
+
+        def link(h: np.ndarray, q: np.ndarray) -> None:
+            a, b = query[own[h]].view(np.int64), query[q].view(np.int64)
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
+
+        shard_links(query[own], query, parts[key[0] % len(parts)], BLOCK_RADIUS, radius, link)
+        once = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"u": once[:, 0], "v": once[:, 1]})
+
     small_batches(nodes.sparkSession)
     routed = nodes.select("fp").mapInArrow(route, "shard int, fp long, home boolean")
-    return routed.groupBy("shard").applyInPandas(pairs, "u long, v long")
+    return routed.groupBy("shard").applyInPandas(all_pairs if every else pairs, "u long, v long")
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, terms: int = TERMS) -> tuple[DataFrame, DataFrame]:
@@ -251,14 +264,55 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return join_groups(rows, found, "fp", "n", rows.count()).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: Similarity of verified links: shared shingles of `VERIFY_TERMS` words, as a share of all, are at least 4 in 5.
+VERIFY_TERMS = 5
+#: Fingerprints in a shard of the wide search: fewer shards overlap less.
+WIDE_LEAF = 1 << 16
+
+
+def verified_classes(docs: DataFrame, radius: int, terms: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, fp of every row; th, its number of rows n, and its class: kind, root).
+
+    Fingerprints within `radius` only propose pairs of texts. Of these, the
+    pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+    more are the links of the components. Texts with one set are one node.
+    Sets are of 64-bit hashes, and only those of proposed texts move.
+    """
+    rows, _ = materialize(fingerprints(docs, terms), "fingerprints")
+    texts, _ = materialize(rows.groupBy("th").agg(F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "texts")
+    nodes, _ = materialize(texts.groupBy("fp").agg(F.count(F.lit(1)).alias("texts")), "nodes")
+    near, _ = materialize(links(nodes, radius, WIDE_LEAF, every=True).distinct(), "near")
+    proposed = near.select(F.col("u").alias("fp")).union(near.select("v")).union(nodes.filter("texts > 1").select("fp")).distinct()
+    wanted = texts.join(proposed, "fp", "left_semi").select("th", "fp")
+    bodies = docs.select(F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "th").dropDuplicates(["th"])
+    split = bodies.select("th", "fp", words(ascii_lower(F.col("text"))).alias("w"))
+    hashes = F.transform(shingles(F.col("w"), VERIFY_TERMS), lambda x: F.xxhash64(F.concat_ws(" ", *[x[f"w{i}"] for i in range(VERIFY_TERMS)])))
+    held = split.select("th", "fp", F.sort_array(F.array_distinct(hashes)).alias("set"))
+    sets, _ = materialize(held.select("th", "fp", F.xxhash64("set").alias("k"), F.size("set").alias("size"), "set"), "shingle-sets")
+    members = sets.select("fp", "k", "size").distinct()
+    one, two = [members.select(F.col("fp").alias(x), F.col("k").alias(f"k{x}"), F.col("size").alias(f"size{x}")) for x in ("u", "v")]
+    met = near.join(one, "u").join(two, "v").union(one.join(two, F.col("u") == F.col("v")).select("v", "u", "ku", "sizeu", "kv", "sizev"))
+    # The smaller set is at least 4 in 5 of the larger one where the similarity is.
+    close = met.filter((F.col("ku") != F.col("kv")) & (F.least("sizeu", "sizev") * 5 >= F.greatest("sizeu", "sizev") * 4))
+    pairs = close.select(F.least("ku", "kv").alias("u"), F.greatest("ku", "kv").alias("v")).distinct()
+    known = sets.select("k", "set").dropDuplicates(["k"])
+    both = pairs.join(known.select(F.col("k").alias("u"), F.col("set").alias("a")), "u").join(known.select(F.col("k").alias("v"), F.col("set").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    roots = components(both.filter(shared * 9 >= (F.size("a") + F.size("b")) * 4).select("u", "v"))
+    placed = sets.select("th", "k").join(roots, F.col("k") == F.col("node"), "left").select("th", F.coalesce("root", "k").alias("root"))
+    kinds = texts.join(placed, "th", "left").select("th", "n", F.col("root").isNotNull().alias("kind"), F.coalesce("root", "th").alias("root"))
+    found, _ = materialize(kinds, "classes")
+    return rows, found
+
+
 def near_dedup(docs: DataFrame, radius: int = RADIUS, terms: int = TERMS) -> DataFrame:
-    """The one document of each component that stays, with all its columns: the smallest doc_id, of equals one text, of repeated rows one.
+    """The one document of each verified component that stays, with all its columns: the smallest doc_id, of equals one text, of repeated rows one.
 
     Rows without doc_id stay only where their component has no other.
     """
-    rows, found = classes(docs, radius, terms)
+    rows, found = verified_classes(docs, radius, terms)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
-    best = join_groups(rows, found, "fp", "n", rows.count()).groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th"))
+    best = join_groups(rows, found, "th", "n", rows.count()).groupBy("kind", "root").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
     kept = keyed.join(best, keyed["id"].eqNullSafe(best["_id"]) & (keyed["key"] == best["_th"]), "left_semi")
     first = F.row_number().over(Window.partitionBy("id", "key").orderBy("key"))
