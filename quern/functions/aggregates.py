@@ -11,32 +11,66 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def fsum(x: str | Column) -> Column:
-    """Compensated sum: exact in decimal(38, 10), so the order of rows does not matter."""
-    return F.sum(_c(x).cast("decimal(38,10)")).cast("double")
-
-
-def favg(x: str | Column) -> Column:
-    return fsum(x) / F.count(_c(x))
-
-
-def min_n(x: str | Column, n: int) -> Column:
-    """The n smallest values as a list. The group's values are gathered: use `top_per_group` where groups are large."""
-    return F.slice(F.sort_array(F.collect_list(_c(x))), 1, n)
-
-
-def max_n(x: str | Column, n: int) -> Column:
-    return F.slice(F.sort_array(F.collect_list(_c(x)), asc=False), 1, n)
-
-
-def arg_min_n(arg: str | Column, by: str | Column, n: int) -> Column:
-    """Args at the n smallest values, ties by arg."""
-    return F.transform(F.slice(F.sort_array(F.collect_list(F.struct(_c(by).alias("k"), _c(arg).alias("v")))), 1, n), lambda s: s["v"])
-
-
-def arg_max_n(arg: str | Column, by: str | Column, n: int) -> Column:
-    pairs = F.sort_array(F.collect_list(F.struct(_c(by).alias("k"), _c(arg).alias("v"))), asc=False)
-    return F.transform(F.slice(pairs, 1, n), lambda s: s["v"])
+#: Values of a bucket differ by under 2**SPAN; the sum of one counts in units of 2**-53 of the least of them.
+_SPAN, _UNIT = 8, 53
+
+
+def fsum(df: DataFrame, keys: Sequence[str], values: dict[str, str | Column]) -> DataFrame:
+    """keys, and for each name the compensated sum of its values and, as <name>_n, their number.
+
+    A value counts as a whole multiple of a unit that follows from its
+    exponent; such multiples are summed exactly by exponent, so neither the
+    order of rows nor their partitions matter, and equal exponents cancel
+    exactly. The few sums of a group (one for each _SPAN exponents) are then
+    added with compensation. Infinities and NaN count as in a plain sum; no
+    value gives null.
+    """
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("__c"), _c(x).cast("double").alias("__x")) for n, x in values.items()]))
+    x = F.col("__x")
+    odd = F.isnan(x) | (F.abs(x) == float("inf"))
+    bucket = F.when(x.isNotNull() & ~odd & (x != 0), F.floor(F.log2(F.abs(x)) / _SPAN).cast("int"))
+    rows = df.select(*keys, named.alias("__v")).select(*keys, "__v.*").withColumn("__b", bucket)
+    # Two factors, as one could overflow; both are powers of two, so the product is exact.
+    power, half = _UNIT - _SPAN * F.col("__b"), F.floor((_UNIT - _SPAN * F.col("__b")) / 2)
+    whole = (x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)).cast("long").cast("decimal(38,0)")
+    exact = rows.groupBy(*keys, "__c", "__b").agg(F.sum(F.when(F.col("__b").isNotNull(), whole)).alias("__s"), F.sum(F.when(odd, x)).alias("__odd"), F.count("__x").alias("__n"))
+    step = 1 << 50
+    high = F.call_function("div", F.col("__s"), F.lit(step))
+    low = (F.col("__s") - high.cast("decimal(20,0)") * F.lit(step).cast("decimal(16,0)")).cast("double")
+    scale = lambda v: v * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power)
+    parts = exact.withColumns({"__hi": scale(high.cast("double") * float(step)), "__lo": scale(low)})
+    terms = F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("__b").isNotNull(), F.struct("__b", "__hi", "__lo"))), asc=False), lambda t: F.array(t["__hi"], t["__lo"])))
+
+    def add(acc: Column, v: Column) -> Column:
+        total = acc["s"] + v
+        lost = F.when(F.abs(acc["s"]) >= F.abs(v), (acc["s"] - total) + v).otherwise((v - total) + acc["s"])
+        return F.struct(total.alias("s"), (acc["c"] + lost).alias("c"))
+
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
+    # A sum beyond the doubles is infinite; its compensation would be NaN.
+    finite = F.aggregate(terms, start, add, lambda a: F.when(F.abs(a["s"]) == float("inf"), a["s"]).otherwise(a["s"] + a["c"]))
+    summed = parts.groupBy(*keys, "__c").agg(finite.alias("__f"), F.sum("__odd").alias("__odd"), F.sum("__n").alias("__n"))
+    value = F.when(F.col("__n") > 0, F.coalesce(F.col("__odd") + F.col("__f"), F.col("__f")))
+    columns = [c for n in values for c in (F.max(F.when(F.col("__c") == n, F.struct(value.alias("v"))))["v"].alias(n), F.sum(F.when(F.col("__c") == n, F.col("__n"))).alias(f"{n}_n"))]
+    return summed.groupBy(*keys).agg(*columns)
+
+
+def favg(df: DataFrame, keys: Sequence[str], values: dict[str, str | Column]) -> DataFrame:
+    """keys and the compensated means by name."""
+    return fsum(df, keys, values).select(*keys, *[F.try_divide(F.col(n), F.col(f"{n}_n")).alias(n) for n in values])
+
+
+def least_n(df: DataFrame, keys: Sequence[str], by: str | Column, n: int, name: str, arg: str | Column | None = None, descending: bool = False) -> DataFrame:
+    """keys and the n least (or greatest) values as a list, or the args at them, ties by arg; nulls do not count.
+
+    A group limit keeps n rows of a group before they move, so hot groups stay small.
+    """
+    value, what = _c(by), _c(by if arg is None else arg)
+    rows = df.select(*keys, value.alias("__k"), what.alias("__v")).filter(F.col("__k").isNotNull())
+    order = [F.desc("__k"), F.desc("__v")] if descending else [F.asc("__k"), F.asc("__v")]
+    pairs = F.sort_array(F.collect_list(F.struct("__k", "__v")), asc=not descending)
+    found = top_per_group(rows, keys, order, n).groupBy(*keys).agg(F.transform(pairs, lambda p: p["__v"]).alias(name))
+    return df.select(*keys).distinct().alias("l").join(found.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], "left").select("l.*", F.col(f"r.{name}"))
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

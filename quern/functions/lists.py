@@ -95,6 +95,11 @@ def list_where(l, mask) -> Column:  # noqa: E741
     return F.filter(_c(l), lambda _, i: F.get(_c(mask), i))
 
 
+def list_zip(*lists) -> Column:
+    """Structs (_1, _2, ...) of the elements at one place; shorter lists are filled up with nulls."""
+    return F.arrays_zip(*[_c(l).alias(f"_{i}") for i, l in enumerate(lists, 1)])
+
+
 def list_resize(l, n: int, fill=None) -> Column:  # noqa: E741
     x = _c(l)
     kind_fill = F.lit(fill)

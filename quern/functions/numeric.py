@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 _INF = float("inf")
@@ -84,29 +88,45 @@ def factorial(x) -> Column:
     return F.when(v <= 1, F.lit(1).cast("decimal(38,0)")).otherwise(big)
 
 
-@F.pandas_udf(T.LongType())
-def gcd(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([math.gcd(int(x), int(y)) for x, y in zip(a, b)])
+def _by_value(f: Callable[..., float], *columns: pd.Series) -> pd.Series:
+    """f of each row's values; null where one is null."""
+    known = pd.concat(columns, axis=1).notna().all(axis=1)
+    out = pd.Series(float("nan"), index=columns[0].index).astype(object).where(known, None)
+    out[known] = [f(*row) for row in zip(*[c[known] for c in columns])]
+    return out
 
 
-@F.pandas_udf(T.LongType())
-def lcm(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([math.lcm(int(x), int(y)) for x, y in zip(a, b)])
+def _long_pairs(f: Callable, a: pa.Array, b: pa.Array) -> pa.Array:
+    known = pc.and_(a.is_valid(), b.is_valid())
+    x, y = (c.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in (a, b))
+    return pc.if_else(known, pa.array(f(x, y), pa.int64()), pa.scalar(None, pa.int64()))
+
+
+@F.arrow_udf(T.LongType())
+def gcd(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Vectorised; null where an argument is null."""
+    return _long_pairs(np.gcd, a, b)
+
+
+@F.arrow_udf(T.LongType())
+def lcm(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Vectorised; null where an argument is null."""
+    return _long_pairs(np.lcm, a, b)
 
 
 @F.pandas_udf(T.DoubleType())
 def gamma(x: pd.Series) -> pd.Series:
-    return x.map(math.gamma)
+    return _by_value(math.gamma, x)
 
 
 @F.pandas_udf(T.DoubleType())
 def lgamma(x: pd.Series) -> pd.Series:
-    return x.map(math.lgamma)
+    return _by_value(math.lgamma, x)
 
 
 @F.pandas_udf(T.DoubleType())
 def nextafter(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([math.nextafter(x, y) for x, y in zip(a, b)])
+    return _by_value(math.nextafter, a, b)
 
 
 def equi_width_bins(low, high, n: int) -> Column:

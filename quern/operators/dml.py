@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -34,10 +34,15 @@ def upsert(table: DataFrame, rows: DataFrame, on: Sequence[str], conflict: str =
 
 
 def merge(table: DataFrame, rows: DataFrame, on: Sequence[str], matched: dict[str, Column] | None, insert_new: bool = True) -> DataFrame:
-    """MERGE: matched rows take the given columns (rows' columns are s_<name>), others are inserted."""
-    source = rows.select(*[F.col(c).alias(f"s_{c}") for c in rows.columns], F.lit(True).alias("s__hit"))
-    joined = table.join(source, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in on], "left")
-    changed = joined.select(*[F.when(F.col("s__hit"), matched[c]).otherwise(F.col(c)).alias(c) if matched and c in matched else F.col(c) for c in table.columns])
+    """MERGE: matched rows take the given columns (rows' columns are s_<name>), others are inserted.
+
+    Keys match by plain equality, so a null key matches nothing and its row is
+    inserted. Two rows that match one row of the table raise an error.
+    """
+    source = rows.select(*[F.col(c).alias(f"s_{c}") for c in rows.columns], F.lit(True).alias("s__hit"), F.count(F.lit(1)).over(Window.partitionBy(*on)).alias("s__n"))
+    joined = table.join(source, [F.col(c) == F.col(f"s_{c}") for c in on], "left")
+    once = joined.filter(F.when(F.col("s__n") > 1, F.raise_error(F.lit("several rows match one row of the table"))).otherwise(F.lit(True)))
+    changed = once.select(*[F.when(F.col("s__hit"), matched[c]).otherwise(F.col(c)).alias(c) if matched and c in matched else F.col(c) for c in table.columns])
     return changed.unionByName(rows.select(*table.columns).join(table.select(*on), list(on), "left_anti")) if insert_new else changed
 
 

@@ -60,10 +60,20 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], salts: int, how: str = "inner") -> DataFrame:
-    """Equi-join whose left keys may be hot: left rows are dealt over `salts`, right rows repeated for each."""
+    """Equi-join whose left keys may be hot: left rows are dealt over `salts` by a hash of all their columns, right rows repeated for each.
+
+    Right rows without a partner (right and full joins) come once, from an anti
+    join on the left side's distinct keys. Rows equal in all columns share a salt.
+    """
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"no salted join of kind {how}")
     a = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
     b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return a.join(b, [*on, "__salt"], how).drop("__salt")
+    met = a.join(b, [*on, "__salt"], "left" if how in ("left", "full") else "inner").drop("__salt")
+    if how in ("inner", "left"):
+        return met
+    alone = right.join(left.select(*on).distinct(), list(on), "left_anti")
+    return met.unionByName(alone, allowMissingColumns=True)
 
 
 def any_match(value: Column, op: str, low: Column, high: Column, count: Column, nulls: Column) -> Column:

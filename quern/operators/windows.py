@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 
 def groups_frame(df: DataFrame, partition: Sequence[str], order: Sequence[Column], start: int, end: int, **aggregates: Column) -> DataFrame:
@@ -14,19 +14,48 @@ def groups_frame(df: DataFrame, partition: Sequence[str], order: Sequence[Column
     return ranked.select(*df.columns, *[a.over(w).alias(n) for n, a in aggregates.items()])
 
 
-def exclude_current_row(total: Column, own: Column) -> Column:
-    """A sum or count over a frame with EXCLUDE CURRENT ROW: the frame's value less the row's own; an empty rest is null for sums."""
-    return total - F.coalesce(own, F.lit(0))
-
-
-def exclude_group(total: Column, peers: Column) -> Column:
-    """A sum or count with EXCLUDE GROUP, for frames that hold all peers of the row."""
-    return total - F.coalesce(peers, F.lit(0))
-
-
-def exclude_ties(total: Column, peers: Column, own: Column) -> Column:
-    """A sum or count with EXCLUDE TIES, for frames that hold all peers of the row."""
-    return total - F.coalesce(peers, F.lit(0)) + F.coalesce(own, F.lit(0))
+def count_excluding(value: Column, frame: WindowSpec, exclude: str, peers: WindowSpec) -> Column:
+    """count(value) OVER (frame EXCLUDE CURRENT ROW, GROUP or TIES), for frames that hold the row and its peers; `peers`: the row's peer group."""
+    return _rest(F.when(value.isNotNull(), F.lit(1)).otherwise(F.lit(0)), frame, exclude, peers).cast("long")
+
+
+def sum_excluding(value: Column, frame: WindowSpec, exclude: str, peers: WindowSpec, exact: bool = False) -> Column:
+    """sum(value) OVER (frame EXCLUDE ...), for the same frames: null where no value is left.
+
+    Infinities and NaN are counted apart, so a row does not lose its sum
+    because an excluded row held one. exact: for integers and decimals, which
+    have neither.
+    """
+    some = count_excluding(value, frame, exclude, peers) > 0
+    if exact:
+        return F.when(some, _rest(F.coalesce(value, F.lit(0)), frame, exclude, peers))
+    whole = value.cast("double")
+    odd = {"nan": F.isnan(whole), "up": whole == float("inf"), "down": whole == -float("inf")}
+    any_odd = F.coalesce(odd["nan"] | odd["up"] | odd["down"], F.lit(False))
+    total = _rest(F.when(~any_odd, F.coalesce(value, F.lit(0))).otherwise(F.lit(0)), frame, exclude, peers)
+    left = {k: _rest(F.when(F.coalesce(c, F.lit(False)), F.lit(1)).otherwise(F.lit(0)), frame, exclude, peers) > 0 for k, c in odd.items()}
+    nan = left["nan"] | (left["up"] & left["down"])
+    out = F.when(nan, F.lit(float("nan"))).when(left["up"], F.lit(float("inf"))).when(left["down"], F.lit(-float("inf"))).otherwise(total)
+    return F.when(some, out)
+
+
+def _rest(x: Column, frame: WindowSpec, exclude: str, peers: WindowSpec) -> Column:
+    total = F.sum(x).over(frame)
+    return {"CURRENT ROW": total - x, "GROUP": total - F.sum(x).over(peers), "TIES": total - F.sum(x).over(peers) + x}[exclude]
+
+
+def frame_excluding(value: Column, place: Column, group: Column, frame: WindowSpec, exclude: str) -> Column:
+    """The values of any frame with EXCLUDE as an array, nulls kept, for whichever list function follows; gathers the frame.
+
+    place tells the rows of a partition apart, group their peer groups.
+    """
+    rows = F.collect_list(F.struct(place.alias("p"), group.alias("g"), value.alias("v"))).over(frame)
+    stays = {
+        "CURRENT ROW": lambda r: ~r["p"].eqNullSafe(place),
+        "GROUP": lambda r: ~r["g"].eqNullSafe(group),
+        "TIES": lambda r: ~r["g"].eqNullSafe(group) | r["p"].eqNullSafe(place),
+    }[exclude]
+    return F.transform(F.filter(rows, stays), lambda r: r["v"])
 
 
 def count_distinct_over(value: Column, window) -> Column:

@@ -31,9 +31,25 @@ sql_query("agg_regression", "lineitem", """SELECT regr_count(l_extendedprice, l_
  round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS icept, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2,
  round(regr_sxx(l_tax, l_discount), 6) AS sxx, round(regr_sxy(l_tax, l_discount), 6) AS sxy, round(regr_syy(l_tax, l_discount), 6) AS syy FROM lineitem""")
 _LI = lambda s, d: table(s, d, "lineitem")
-frame_query("agg_fsum", lambda s, d: _LI(s, d).groupBy("l_linestatus").agg(F.round(A.fsum("l_extendedprice"), 2).alias("total"), F.round(A.favg("l_extendedprice"), 6).alias("mean")),
-            "SELECT l_linestatus, round(fsum(l_extendedprice), 2) AS total, round(favg(l_extendedprice), 6) AS mean FROM lineitem GROUP BY l_linestatus")
-frame_query("agg_min_max_n", lambda s, d: table(s, d, "customer").groupBy("c_nationkey").agg(A.min_n("c_custkey", 3).alias("lo"), A.max_n("c_custkey", 2).alias("hi"), A.arg_min_n("c_name", "c_custkey", 2).alias("first"), A.arg_max_n("c_name", "c_custkey", 2).alias("last")),
+def _fsum(s, d):
+    found = A.fsum(_LI(s, d), ["l_linestatus"], {"total": "l_extendedprice", "tiny": F.col("l_tax") * 1e-12, "signed": F.when(F.col("l_linenumber") % 2 == 0, F.col("l_extendedprice")).otherwise(-F.col("l_extendedprice"))})
+    means = A.favg(_LI(s, d), ["l_linestatus"], {"mean": "l_extendedprice"})
+    return found.join(means, "l_linestatus").select("l_linestatus", F.round("total", 2).alias("total"), F.round(F.col("tiny") * 1e12, 6).alias("tiny"), F.round("signed", 2).alias("signed"), F.round("mean", 6).alias("mean"))
+
+
+frame_query("agg_fsum", _fsum,
+            "SELECT l_linestatus, round(fsum(l_extendedprice), 2) AS total, round(fsum(l_tax * 1e-12) * 1e12, 6) AS tiny, round(fsum(CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice ELSE -l_extendedprice END), 2) AS signed, round(favg(l_extendedprice), 6) AS mean FROM lineitem GROUP BY l_linestatus")
+def _min_max_n(s, d):
+    c = table(s, d, "customer")
+    parts = [A.least_n(c, ["c_nationkey"], "c_custkey", 3, "lo"), A.least_n(c, ["c_nationkey"], "c_custkey", 2, "hi", descending=True),
+             A.least_n(c, ["c_nationkey"], "c_custkey", 2, "first", "c_name"), A.least_n(c, ["c_nationkey"], "c_custkey", 2, "last", "c_name", descending=True)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "c_nationkey")
+    return out
+
+
+frame_query("agg_min_max_n", _min_max_n,
             "SELECT c_nationkey, min(c_custkey, 3) AS lo, max(c_custkey, 2) AS hi, arg_min(c_name, c_custkey, 2) AS first, arg_max(c_name, c_custkey, 2) AS last FROM customer GROUP BY c_nationkey")
 frame_query("agg_string_agg", lambda s, d: table(s, d, "nation").groupBy("n_regionkey").agg(A.string_agg("n_name", "; ", "n_nationkey").alias("names"), A.ordered_list("n_nationkey", "n_name").alias("keys")),
             "SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_nationkey) AS names, list(n_nationkey ORDER BY n_name) AS keys FROM nation GROUP BY n_regionkey")
@@ -77,15 +93,37 @@ frame_query("window_groups", lambda s, d: W.groups_frame(table(s, d, "customer")
             "SELECT c_custkey, c_nationkey, c_mktsegment, count(*) OVER w AS n, CAST(sum(c_custkey) OVER w AS BIGINT) AS s FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_mktsegment GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING)")
 
 
+_KINDS = {"no_row": "CURRENT ROW", "no_group": "GROUP", "no_ties": "TIES"}
+_ALL = "PARTITION BY {} ORDER BY c_mktsegment ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE"
+
+
 def _exclude(s, d):
-    w = Window.partitionBy("c_nationkey")
-    peers = Window.partitionBy("c_nationkey", "c_mktsegment")
-    own, total, group = F.lit(1), F.count(F.lit(1)).over(w), F.count(F.lit(1)).over(peers)
-    return table(s, d, "customer").select("c_custkey", W.exclude_current_row(total, own).alias("no_row"), W.exclude_group(total, group).alias("no_group"), W.exclude_ties(total, group, own).alias("no_ties"))
+    w, peers = Window.partitionBy("c_nationkey"), Window.partitionBy("c_nationkey", "c_mktsegment")
+    counts = [W.count_excluding(F.lit(1), w, kind, peers).alias(n) for n, kind in _KINDS.items()]
+    sums = [W.sum_excluding(F.col("c_custkey"), w, kind, peers, exact=True).alias(f"sum_{n}") for n, kind in _KINDS.items()]
+    return table(s, d, "customer").select("c_custkey", *counts, *sums)
+
+
+frame_query("window_exclude", _exclude, "SELECT c_custkey, " + ", ".join(f"count(*) OVER ({_ALL.format('c_nationkey')} {kind}) AS {n}, CAST(sum(c_custkey) OVER ({_ALL.format('c_nationkey')} {kind}) AS BIGINT) AS sum_{n}" for n, kind in _KINDS.items()) + " FROM customer")
+
+
+def _exclude_single(s, d):
+    # Partitions of one customer: each frame may be empty
+    w, peers = Window.partitionBy("c_custkey"), Window.partitionBy("c_custkey", "c_mktsegment")
+    return table(s, d, "customer").select("c_custkey", *[W.sum_excluding(F.col("c_acctbal"), w, kind, peers).alias(n) for n, kind in _KINDS.items()])
+
+
+frame_query("window_exclude_single", _exclude_single, "SELECT c_custkey, " + ", ".join(f"sum(c_acctbal) OVER ({_ALL.format('c_custkey')} {kind}) AS {n}" for n, kind in _KINDS.items()) + " FROM customer")
+
+
+def _exclude_any(s, d):
+    frame = Window.partitionBy("c_nationkey").orderBy("c_custkey").rowsBetween(-3, 3)
+    cut = {n: W.frame_excluding(F.col("c_acctbal"), F.col("c_custkey"), F.col("c_custkey"), frame, kind) for n, kind in _KINDS.items()}
+    return table(s, d, "customer").select("c_custkey", F.array_max(cut["no_row"]).alias("hi"), F.array_min(cut["no_group"]).alias("lo"), F.size(F.array_distinct(cut["no_ties"])).cast("long").alias("n"))
 
 
-_ALL = "PARTITION BY c_nationkey ORDER BY c_mktsegment ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
-frame_query("window_exclude", _exclude, f"SELECT c_custkey, count(*) OVER ({_ALL} EXCLUDE CURRENT ROW) AS no_row, count(*) OVER ({_ALL} EXCLUDE GROUP) AS no_group, count(*) OVER ({_ALL} EXCLUDE TIES) AS no_ties FROM customer")
+_NEAR = "OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE"
+frame_query("window_exclude_any", _exclude_any, f"SELECT c_custkey, max(c_acctbal) {_NEAR} CURRENT ROW) AS hi, min(c_acctbal) {_NEAR} GROUP) AS lo, count(DISTINCT c_acctbal) {_NEAR} TIES) AS n FROM customer")
 
 
 def _distinct_filter(s, d):

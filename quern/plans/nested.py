@@ -35,28 +35,26 @@ frame_query("date_timezone", _events(lambda: dict(a=F.convert_timezone(F.lit("UT
 sql_query("date_series", "", "SELECT explode(sequence(DATE '2024-01-31', DATE '2024-06-30', INTERVAL 1 MONTH)) AS d", "SELECT unnest([DATE '2024-01-31', DATE '2024-02-29', DATE '2024-03-31', DATE '2024-04-30', DATE '2024-05-31', DATE '2024-06-30']) AS d")
 sql_query("range_table", "", "SELECT id AS i FROM range(5, 50, 5)", "SELECT range AS i FROM range(5, 50, 5)")
 
-def _lists(bound, cols):
-    rows = lambda s, d: table(s, d, "orders").filter(bound).withColumns({"l": F.array(F.col("o_custkey") % 7, F.lit(None), F.col("o_orderkey") % 5, F.col("o_custkey") % 7), "m": F.array(F.col("o_orderkey") % 3, F.lit(2).cast("long"))})
+def _lists(cols):
+    rows = lambda s, d: table(s, d, "orders").withColumns({"l": F.array(F.col("o_custkey") % 7, F.lit(None), F.col("o_orderkey") % 5, F.col("o_custkey") % 7), "m": F.array(F.col("o_orderkey") % 3, F.lit(2).cast("long"))})
     return lambda s, d: rows(s, d).select("o_orderkey", *[c.alias(n) for n, c in cols().items()])
 
 
-# Each twice: on the few rows that the SQL of the plain name asks for, and as ..._all on the whole table
-for _all, _bound, _where in [("", "o_orderkey < 500", " WHERE o_orderkey < 500"), ("_all", "true", "")]:
-    _LM = f"FROM (SELECT o_orderkey, [o_custkey % 7, NULL, o_orderkey % 5, o_custkey % 7] AS l, [o_orderkey % 3, 2] AS m FROM orders{_where})"
-    frame_query(f"list_access{_all}", _lists(_bound, lambda: dict(a=L.list_extract("l", 1), b=L.list_extract("l", -2), c=L.list_extract("l", 9), d=L.list_slice("l", 2, 3), e=L.list_slice("l", -2, -1), f=L.list_slice("l", 1, 4, 2), g=F.size("l").cast("long"))),
-                f"SELECT o_orderkey, l[1] AS a, l[-2] AS b, l[9] AS c, l[2:3] AS d, l[-2:-1] AS e, l[1:4:2] AS f, len(l) AS g {_LM}")
-    frame_query(f"list_search{_all}", _lists(_bound, lambda: dict(a=L.list_contains("l", F.lit(3)), b=L.list_position("l", F.lit(3)).cast("int"), c=L.list_has_any("l", F.col("m")), d=L.list_has_all("l", F.col("m")), e=F.sort_array(F.array_intersect(F.array_compact("l"), "m")))),
-                f"SELECT o_orderkey, list_contains(l, 3) AS a, list_position(l, 3) AS b, list_has_any(l, m) AS c, list_has_all(l, m) AS d, list_sort(list_intersect(l, m)) AS e {_LM}")
-    frame_query(f"list_build{_all}", _lists(_bound, lambda: dict(a=L.list_concat("l", F.col("m")), b=F.array_append("m", F.lit(9).cast("long")), c=F.array_prepend("m", F.lit(9).cast("long")), d=F.sort_array(L.list_distinct("l")), e=L.list_unique("l"), f=L.list_resize("m", 4, 0), g=F.reverse("m"), h=L.flatten(F.array("m", "m")))),
-                f"SELECT o_orderkey, list_concat(l, m) AS a, list_append(m, 9) AS b, list_prepend(9, m) AS c, list_sort(list_distinct(l)) AS d, CAST(list_unique(l) AS BIGINT) AS e, list_resize(m, 4, 0) AS f, list_reverse(m) AS g, flatten([m, m]) AS h {_LM}")
-    frame_query(f"list_sort{_all}", _lists(_bound, lambda: dict(a=L.list_sort("l"), b=L.list_sort("l", True), c=L.list_sort("l", nulls_first=True), d=L.list_grade_up("m"))),
-                f"SELECT o_orderkey, list_sort(l, 'ASC', 'NULLS LAST') AS a, list_sort(l, 'DESC', 'NULLS LAST') AS b, list_sort(l, 'ASC', 'NULLS FIRST') AS c, list_grade_up(m) AS d {_LM}")
-    frame_query(f"list_lambda{_all}", _lists(_bound, lambda: dict(a=L.list_transform("m", lambda x: x * 2), b=L.list_transform("m", lambda x, i: x * i), c=L.list_filter("m", lambda x: x > 1), d=L.list_reduce("m", lambda x, y: x * 10 + y), e=L.list_select("m", F.array(F.lit(2), F.lit(1))), f=L.list_where("m", F.array(F.lit(True), F.lit(False))), g=F.arrays_zip("l", "m"))),
-                f"SELECT o_orderkey, list_transform(m, lambda x: x * 2) AS a, list_transform(m, lambda x, i: x * i) AS b, list_filter(m, lambda x: x > 1) AS c, list_reduce(m, lambda x, y: x * 10 + y) AS d, list_select(m, [2, 1]) AS e, list_where(m, [true, false]) AS f, list_zip(l, m) AS g {_LM}")
-    frame_query(f"list_aggregates{_all}", _lists(_bound, lambda: dict(s=L.list_sum("l"), a=F.round(L.list_avg("l"), 8), lo=F.array_min("l"), hi=F.array_max("l"), c=L.list_count("l"), md=L.list_median("l"), p=L.list_product("m"), v=F.round(L.list_var_pop("l"), 8), j=F.array_join("m", "+"))),
-                f"SELECT o_orderkey, CAST(list_sum(l) AS DOUBLE) AS s, round(list_avg(l), 8) AS a, list_min(l) AS lo, list_max(l) AS hi, list_count(l) AS c, CAST(list_median(l) AS DOUBLE) AS md, list_product(m) AS p, round(list_var_pop(l), 8) AS v, array_to_string(m, '+') AS j {_LM}")
-    frame_query(f"list_range{_all}", _lists(_bound, lambda: dict(a=L.range_list(0, (F.col("o_orderkey") % 4).cast("int")).cast("array<bigint>"), b=F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"), F.lit(2).cast("long")))),
-                f"SELECT o_orderkey, range(0, o_orderkey % 4) AS a, generate_series(1, 5, 2) AS b {_LM}")
+_LM = "FROM (SELECT o_orderkey, [o_custkey % 7, NULL, o_orderkey % 5, o_custkey % 7] AS l, [o_orderkey % 3, 2] AS m FROM orders)"
+frame_query("list_access", _lists(lambda: dict(a=L.list_extract("l", 1), b=L.list_extract("l", -2), c=L.list_extract("l", 9), d=L.list_slice("l", 2, 3), e=L.list_slice("l", -2, -1), f=L.list_slice("l", 1, 4, 2), g=F.size("l").cast("long"))),
+            f"SELECT o_orderkey, l[1] AS a, l[-2] AS b, l[9] AS c, l[2:3] AS d, l[-2:-1] AS e, l[1:4:2] AS f, len(l) AS g {_LM}")
+frame_query("list_search", _lists(lambda: dict(a=L.list_contains("l", F.lit(3)), b=L.list_position("l", F.lit(3)).cast("int"), c=L.list_has_any("l", F.col("m")), d=L.list_has_all("l", F.col("m")), e=F.sort_array(F.array_intersect(F.array_compact("l"), "m")))),
+            f"SELECT o_orderkey, list_contains(l, 3) AS a, list_position(l, 3) AS b, list_has_any(l, m) AS c, list_has_all(l, m) AS d, list_sort(list_intersect(l, m)) AS e {_LM}")
+frame_query("list_build", _lists(lambda: dict(a=L.list_concat("l", F.col("m")), b=F.array_append("m", F.lit(9).cast("long")), c=F.array_prepend("m", F.lit(9).cast("long")), d=F.sort_array(L.list_distinct("l")), e=L.list_unique("l"), f=L.list_resize("m", 4, 0), g=F.reverse("m"), h=L.flatten(F.array("m", "m")))),
+            f"SELECT o_orderkey, list_concat(l, m) AS a, list_append(m, 9) AS b, list_prepend(9, m) AS c, list_sort(list_distinct(l)) AS d, CAST(list_unique(l) AS BIGINT) AS e, list_resize(m, 4, 0) AS f, list_reverse(m) AS g, flatten([m, m]) AS h {_LM}")
+frame_query("list_sort", _lists(lambda: dict(a=L.list_sort("l"), b=L.list_sort("l", True), c=L.list_sort("l", nulls_first=True), d=L.list_grade_up("m"))),
+            f"SELECT o_orderkey, list_sort(l, 'ASC', 'NULLS LAST') AS a, list_sort(l, 'DESC', 'NULLS LAST') AS b, list_sort(l, 'ASC', 'NULLS FIRST') AS c, list_grade_up(m) AS d {_LM}")
+frame_query("list_lambda", _lists(lambda: dict(a=L.list_transform("m", lambda x: x * 2), b=L.list_transform("m", lambda x, i: x * i), c=L.list_filter("m", lambda x: x > 1), d=L.list_reduce("m", lambda x, y: x * 10 + y), e=L.list_select("m", F.array(F.lit(2), F.lit(1))), f=L.list_where("m", F.array(F.lit(True), F.lit(False))), g=F.transform(L.list_zip("l", "m"), lambda z: z["_1"]), h=F.transform(L.list_zip("l", "m"), lambda z: z["_2"]))),
+            f"SELECT o_orderkey, list_transform(m, lambda x: x * 2) AS a, list_transform(m, lambda x, i: x * i) AS b, list_filter(m, lambda x: x > 1) AS c, list_reduce(m, lambda x, y: x * 10 + y) AS d, list_select(m, [2, 1]) AS e, list_where(m, [true, false]) AS f, list_transform(list_zip(l, m), lambda z: z[1]) AS g, list_transform(list_zip(l, m), lambda z: z[2]) AS h {_LM}")
+frame_query("list_aggregates", _lists(lambda: dict(s=L.list_sum("l"), a=F.round(L.list_avg("l"), 8), lo=F.array_min("l"), hi=F.array_max("l"), c=L.list_count("l"), md=L.list_median("l"), p=L.list_product("m"), v=F.round(L.list_var_pop("l"), 8), j=F.array_join("m", "+"))),
+            f"SELECT o_orderkey, CAST(list_sum(l) AS DOUBLE) AS s, round(list_avg(l), 8) AS a, list_min(l) AS lo, list_max(l) AS hi, list_count(l) AS c, CAST(list_median(l) AS DOUBLE) AS md, list_product(m) AS p, round(list_var_pop(l), 8) AS v, array_to_string(m, '+') AS j {_LM}")
+frame_query("list_range", _lists(lambda: dict(a=L.range_list(0, (F.col("o_orderkey") % 4).cast("int")).cast("array<bigint>"), b=F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"), F.lit(2).cast("long")))),
+            f"SELECT o_orderkey, range(0, o_orderkey % 4) AS a, generate_series(1, 5, 2) AS b {_LM}")
 
 frame_query("struct_functions", lambda s, d: table(s, d, "nation").select(N.struct_insert(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n")), r=F.col("n_regionkey")).alias("s")).select("s.*"),
             "SELECT s.k AS k, s.n AS n, s.r AS r FROM (SELECT struct_insert({'k': n_nationkey, 'n': n_name}, r := n_regionkey) AS s FROM nation)")

@@ -21,6 +21,16 @@ def _rows(s):
 frame_query("dml_upsert", lambda s, d: dml.upsert(table(s, d, "nation"), _rows(s), ["n_nationkey"]), f"SELECT * {_N} WHERE n_nationkey <> 1 UNION ALL SELECT 1, 'one', 1 UNION ALL SELECT 99, 'new', 4")
 frame_query("dml_insert_ignore", lambda s, d: dml.upsert(table(s, d, "nation"), _rows(s), ["n_nationkey"], "nothing"), f"SELECT * {_N} UNION ALL SELECT 99, 'new', 4")
 frame_query("dml_merge", lambda s, d: dml.merge(table(s, d, "nation"), _rows(s), ["n_nationkey"], {"n_name": F.concat("n_name", F.lit("/"), "s_n_name")}), f"SELECT n_nationkey, CASE WHEN n_nationkey = 1 THEN n_name || '/one' ELSE n_name END AS n_name, n_regionkey {_N} UNION ALL SELECT 99, 'new', 4")
+_NULLED = "SELECT nullif(doc_id % 7, 3) AS k, max(doc_id) AS v FROM documents GROUP BY 1"
+
+
+def _merge_nulls(s, d):
+    docs = table(s, d, "documents").select("doc_id", F.nullif(F.col("doc_id") % 7, F.lit(3)).alias("k"))
+    target = docs.filter("k IS NULL OR k < 4").groupBy("k").agg(F.max("doc_id").alias("v"))
+    return dml.merge(target, docs.groupBy("k").agg(F.max("doc_id").alias("v")), ["k"], {"v": -F.col("s_v")})
+
+
+frame_query("dml_merge_nulls", _merge_nulls, f"WITH n AS ({_NULLED}) SELECT k, CASE WHEN k IS NULL THEN v ELSE -v END AS v FROM n WHERE k IS NULL OR k < 4 UNION ALL SELECT k, v FROM n WHERE k IS NULL OR k >= 4")
 frame_query("dml_constraints", lambda s, d: dml.violations(table(s, d, "lineitem"), {"cheap": F.col("l_extendedprice") < 90000}, ["l_tax"], [["l_orderkey", "l_linenumber"]]),
             "SELECT 'cheap' AS constraint, count(*) FILTER (l_extendedprice >= 90000) AS n FROM lineitem UNION ALL SELECT 'not_null_l_tax', count(*) FILTER (l_tax IS NULL) FROM lineitem UNION ALL SELECT 'unique_l_orderkey_l_linenumber', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
 frame_query("dml_foreign_key", lambda s, d: dml.foreign_key_violations(table(s, d, "labels"), "doc_id", table(s, d, "documents").filter("doc_id > 10"), "doc_id").select("doc_id"), "SELECT doc_id FROM labels WHERE doc_id <= 10 OR doc_id NOT IN (SELECT doc_id FROM documents)")

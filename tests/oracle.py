@@ -22,10 +22,13 @@ def norm(v):
     if isinstance(v, decimal.Decimal):
         return float(f"{float(v):.9g}")
     if hasattr(v, "asDict"):
-        return tuple(norm(x) for x in v)
+        v = v.asDict()
     if isinstance(v, dict):
-        return tuple(norm(x) for x in v.values())
-    if isinstance(v, (list, tuple)):
+        # Names count: an unnamed struct is a tuple and equals no named one.
+        return {"names": sorted((repr(norm(k)), norm(x)) for k, x in v.items())}
+    if isinstance(v, list):
+        return [norm(x) for x in v]
+    if isinstance(v, tuple):
         return tuple(norm(x) for x in v)
     if isinstance(v, bytearray):
         return bytes(v)

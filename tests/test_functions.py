@@ -72,8 +72,25 @@ def test_nested(one):
 
 def test_aggregates(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 9.0), ("b", 5.0), ("b", None)], "k string, v double")
-    shape = {r["k"]: r for r in df.groupBy("k").agg(A.skewness("v").alias("s"), A.kurtosis("v").alias("c"), A.fsum("v").alias("f"), A.min_n("v", 2).alias("m")).collect()}
-    assert shape["b"]["s"] is None and shape["b"]["c"] is None and shape["a"]["f"] == 14.0 and shape["a"]["m"] == [1.0, 2.0]
+    shape = {r["k"]: r for r in df.groupBy("k").agg(A.skewness("v").alias("s"), A.kurtosis("v").alias("c")).collect()}
+    assert shape["b"]["s"] is None and shape["b"]["c"] is None
+    assert {r["k"]: r["f"] for r in A.fsum(df, ["k"], {"f": "v"}).collect()} == {"a": 14.0, "b": 5.0}
+    assert {r["k"]: r["m"] for r in A.least_n(df, ["k"], "v", 2, "m").collect()} == {"a": [1.0, 2.0], "b": [5.0]}
     assert {r["k"]: r["mode"] for r in A.mode(df, ["k"], "v").collect()} == {"a": 2.0, "b": 5.0}
     assert {r["k"]: r["mad"] for r in A.mad(df, ["k"], "v").collect()} == {"a": 0.5, "b": 0.0}
     assert {r["bin"]: r["n"] for r in A.binned_histogram(df, "v", [5, 2, 3]).collect()} == {2.0: 3, 3.0: 0, 5.0: 1, math.inf: 1}
+
+
+def test_compensated_sums(spark):
+    cases = {1: [1e-12, 2e-12], 2: [1e30, 1.0, -1e30], 3: [0.1] * 10, 4: [5e-324, 1.7e308, -1.7e308], 5: [float("inf"), 1.0], 6: [None], 7: [1e16, 1.0, 1e16, -2e16], 8: [0.0, -0.0]}
+    rows = [(k, v) for k, vs in cases.items() for v in vs]
+    found = {r["k"]: (r["s"], r["s_n"]) for r in A.fsum(spark.createDataFrame(rows, "k int, v double").repartition(3), ["k"], {"s": "v"}).collect()}
+    for k, vs in cases.items():
+        known = [v for v in vs if v is not None]
+        assert found[k] == ((math.fsum(known) if known else None), len(known)), k
+
+
+def test_gcd_and_lcm_take_nulls(spark):
+    df = spark.createDataFrame([(12, 18), (None, 4), (0, 0), (-4, 6), (5, None)], "a long, b long")
+    assert [tuple(r) for r in df.select(M.gcd("a", "b"), M.lcm("a", "b")).collect()] == [(6, 36), (None, None), (0, 0), (2, 12), (None, None)]
+    assert [r[0] for r in df.select(M.lgamma(F.col("b").cast("double"))).collect()][1:2] == [math.lgamma(4)]

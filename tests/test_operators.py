@@ -40,7 +40,10 @@ def test_range_and_overlap_joins_equal_nested_loops(spark):
 def test_salted_join(spark):
     left = spark.createDataFrame([("hot", i) for i in range(50)] + [("cold", 1), (None, 2)], "k string, v int")
     right = spark.createDataFrame([("hot", "x"), ("cold", "y"), ("none", "z")], "k string, w string")
-    assert got(salted_join(left, right, ["k"], 4)) == got(left.join(right, "k"))
+    for how in ("inner", "left", "right", "full"):
+        assert got(salted_join(left, right, ["k"], 4, how).select("k", "v", "w")) == got(left.join(right, "k", how).select("k", "v", "w"))
+    with pytest.raises(ValueError):
+        salted_join(left, right, ["k"], 4, "left_anti")
 
 
 @pytest.mark.parametrize(("values", "op", "any_", "all_"), [([1, 5], ">", True, False), ([], ">", False, True), ([1, None], ">", True, None), ([5, None], ">", None, False), ([5], ">", False, False)])
@@ -80,6 +83,12 @@ def test_windows(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("a", 4), ("b", 7)], "k string, v int")
     found = W.groups_frame(df, ["k"], [F.col("v")], -1, 0, s=F.sum("v"))
     assert got(found) == [("a", 1, 2), ("a", 1, 2), ("a", 2, 4), ("a", 4, 6), ("b", 7, 7)]
+    odd = spark.createDataFrame([(1, 1.0), (2, float("inf")), (3, float("nan")), (4, None)], "k int, v double")
+    w, peers = Window.partitionBy(F.lit(1)), Window.partitionBy(F.lit(1), "k")
+    rest = {r["k"]: r["s"] for r in odd.filter("k <> 3").select("k", W.sum_excluding(F.col("v"), w, "CURRENT ROW", peers).alias("s")).collect()}
+    assert rest == {1: float("inf"), 2: 1.0, 4: float("inf")}
+    alone = odd.filter("k = 1").select(W.sum_excluding(F.col("v"), w, "GROUP", peers), W.sum_excluding(F.col("v"), w, "TIES", peers)).first()
+    assert tuple(alone) == (None, 1.0)
     w = Window.partitionBy("k")
     assert got(df.select("v", W.count_distinct_over(F.col("v"), w)).filter("v = 4")) == [(4, 3)]
 
@@ -99,6 +108,10 @@ def test_bitmaps_follow_changes(spark):
 def test_dml(spark):
     t = spark.createDataFrame([(1, "a"), (2, None)], "id int, v string")
     assert got(dml.update(t, F.col("v") == "a", v=F.lit("z"))) == [(1, "z"), (2, None)]
+    rows = spark.createDataFrame([(None, "new"), (1, "b")], t.schema)
+    assert got(dml.merge(t.union(rows.filter("id IS NULL")), rows, ["id"], {"v": F.col("s_v")})) == sorted([(1, "b"), (2, None), (None, "new"), (None, "new")], key=repr)
+    with pytest.raises(Exception, match="several rows"):
+        dml.merge(t, rows.union(rows), ["id"], {"v": F.col("s_v")}).collect()
     assert got(dml.delete(t, F.col("v") == "a")) == [(2, None)]
     assert got(dml.upsert(t, spark.createDataFrame([(2, "n"), (3, "m")], t.schema), ["id"])) == [(1, "a"), (2, "n"), (3, "m")]
 

@@ -1,4 +1,4 @@
-"""The ..._all queries answer for every row of their tables; the plain names keep the bounds of their SQL."""
+"""Queries answer for every row of their tables and for whole texts."""
 
 import pytest
 
@@ -11,13 +11,13 @@ ORDERS = "list_access list_search list_build list_sort list_lambda list_aggregat
 @pytest.mark.parametrize("name,table,times", [(n, "lineitem", 1) for n in LINEITEM] + [(n, "orders", 1) for n in ORDERS] + [("unpivot", "lineitem", 3)])
 def test_every_row(spark, small, name, table, times):
     rows = spark.read.parquet(f"{small}/{table}.parquet").count()
-    assert registry.queries()[f"{name}_all"](spark, small).count() == rows * times
-    assert "WHERE" not in registry.oracle_sql()[f"{name}_all"]
+    assert registry.queries()[name](spark, small).count() == rows * times
+    assert "WHERE" not in registry.oracle_sql()[name]
 
 
 def test_every_list_is_unnested(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").filter("lang IS NOT NULL")
-    assert registry.queries()["unnest_list_all"](spark, small).select("doc_id").distinct().count() == docs.count()
+    assert registry.queries()["unnest_list"](spark, small).select("doc_id").distinct().count() == docs.count()
 
 
 def test_age_borrows_the_earlier_month(spark):
@@ -40,12 +40,12 @@ def test_age_borrows_the_earlier_month(spark):
 def test_whole_texts_and_null_places(spark, tmp_path):
     text = "x" * 100 + " e\u0301 \u00e9"
     spark.createDataFrame([(i, text, None if i == 30 else "en") for i in range(31)], "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
-    got = registry.queries()["str_unicode_all"](spark, str(tmp_path)).first()
+    got = registry.queries()["str_unicode"](spark, str(tmp_path)).first()
     assert (got["a"], got["b"]) == ("x" * 100 + " e e", "x" * 100 + " \u00e9 \u00e9")
-    places = {r["doc_id"]: r["place"] for r in registry.queries()["order_nulls_all"](spark, str(tmp_path)).collect()}
+    places = {r["doc_id"]: r["place"] for r in registry.queries()["order_nulls"](spark, str(tmp_path)).collect()}
     assert len(places) == 31 and places[30] == 31
 
 
 def test_all_orders_have_an_age(spark, small):
     orders = spark.read.parquet(f"{small}/orders.parquet").count()
-    assert registry.queries()["date_age_all"](spark, small).filter("a <> ''").count() == orders
+    assert registry.queries()["date_age"](spark, small).filter("a <> ''").count() == orders
