@@ -4,48 +4,52 @@ A byte goes if a string of `LENGTH` bytes that covers it also starts anywhere
 else. The suffixes of all texts cannot be sorted in one place, and most start
 no repeated string, so the work is split without losing any match:
 
-1. Anchors. Each window of LENGTH bytes chooses the least hash among its
+1. Texts. Of equal texts one takes part; from LENGTH bytes on all of them are
+   repeated from end to end, whatever the others hold. So a text copied to any
+   number of documents costs one text.
+2. Anchors. Each window of LENGTH bytes chooses the least hash among its
    K-byte strings, the leftmost of equals. The choice depends on the window's
    bytes alone, so equal windows choose equal strings at equal offsets.
    Consecutive windows with one anchor form a fragment. An anchor hash that
    occurs once starts no repeated window; such fragments are dropped.
-2. Shards. Fragments go to the shard of their anchor. There a disk-backed
-   priority queue carries them in the order of their anchors, in batches that
-   fit in memory, whatever the shard's size.
-3. Induction. In a batch, the suffixes that start at one distance from their
-   anchors are kept sorted, with the common prefix of neighbours. The order at
-   distance j follows from the order at distance j - 1 by one stable pass over
-   the bytes in front, and so do the common prefixes (one more byte, plus the
-   least value in between). It begins at the far right end, 8 bytes a step.
-   At each distance, neighbours with LENGTH common bytes are repeated windows.
-4. A group of fragments too large for a batch is split recursively: its
-   windows are halved, and the halves regrouped by all the bytes that the
-   windows of a half share. Anchors with over HOT fragments are split so before
-   they move, so that they spread over the cluster.
+3. Equal fragments (anchor and content, 64 bits of hash each) are counted before
+   anything moves: all windows of a fragment that occurs twice are repeated, and
+   one of its copies stands for them where others share the anchor.
+4. Shards. The fragments left go to the shard of their anchor. Spark's external
+   sorter, a priority queue over runs on disk, hands a shard's fragments on in
+   the order of their anchors, so a shard may be far larger than memory.
+5. Induction. In a batch of whole groups, the suffixes that start at one
+   distance from their anchors are kept sorted, with the common prefix of
+   neighbours. The order at distance j follows from the order at distance j - 1
+   by one stable pass over the bytes in front, and so do the common prefixes
+   (one more byte, plus the least value in between). It begins at the far right
+   end, 8 bytes a step. At each distance, neighbours with LENGTH common bytes
+   are repeated windows.
+6. Anchors that over HOT fragments share would fill one task. Their fragments
+   are split down to single windows, which are counted by anchor and window
+   hash (64 bits each): partial counts, then verdicts by a join whose hot keys
+   adaptive execution splits.
 
 Defined results: null counts as empty; texts under LENGTH bytes lose nothing.
 Rows that repeat a doc_id and text are documents of their own, so their texts
-repeat. Rows with the same doc_id and different texts are told apart.
+repeat. Rows with the same doc_id and different texts are told apart. Texts are
+taken as equal by 128 bits of hash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
-import pickle
-import tempfile
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, groupby, islice
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.llm.common import resident, small_batches
 
 LENGTH, K = 200, 56
-#: Fragments in one induction batch, bytes that a queue holds in memory, and fragments of an anchor from which it is split before it moves.
-BATCH, QUEUE_BYTES, HOT = 16_384, 48 << 20, 1_000_000
+#: Fragments in one induction batch, and fragments of an anchor from which it is counted window by window.
+BATCH, HOT = 16_384, 1_000
 #: Bytes hashed at once.
 SLAB = 1 << 18
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -73,12 +77,22 @@ def gram_hashes(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def anchors(x: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, first j, last j, hash) of the anchors of x: windows that start j before the position, for j in first..last."""
+def _spread(g: np.ndarray, start: np.ndarray, end: np.ndarray, most: int, k: int) -> np.ndarray:
+    """A hash of the bytes start..end of each row (k at least, `most` at most), from the hashes g of the k-byte strings that cover them."""
+    out = (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for i in range(-(-most // k)):
+        out ^= out >> np.uint64(32)
+        out = out * np.uint64(0x9E3779B97F4A7C15) + g[np.minimum(start + i * k, end - k)]
+    out ^= out >> np.uint64(29)
+    return out * np.uint64(0xD6E8FEB86659FD93)
+
+
+def anchors(x: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
+    """(position, first j, last j, hash, content) of the anchors of x: windows that start j before the position, for j in first..last; content is a hash of all their bytes."""
     n = len(x) - length + 1
     if n <= 0:
         empty = np.empty(0, np.int64)
-        return empty, empty, empty, np.empty(0, np.uint64)
+        return empty, empty, empty, np.empty(0, np.uint64), np.empty(0, np.uint64)
     w = length - k + 1
     g = gram_hashes(x, k)
     low = np.uint64((1 << 20) - 1)
@@ -92,15 +106,23 @@ def anchors(x: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     last = np.r_[first[1:] - 1, n - 1]
     p = at[first]
-    return p, p - last, p - first, g[p]
+    content = _spread(g, first, last + length, 2 * length - k, k) + (p - last).astype(np.uint64)
+    return p, p - last, p - first, g[p], content
+
+
+def windows(raw: bytes, length: int = LENGTH, k: int = K) -> np.ndarray:
+    """A hash of each window of raw, which has `length` bytes at least."""
+    x = np.frombuffer(raw, np.uint8)
+    start = np.arange(len(x) - length + 1)
+    return _spread(gram_hashes(x, k), start, start + length, length, k)
 
 
 def text_anchors(raw: bytes, length: int = LENGTH, k: int = K) -> Iterator[tuple[np.ndarray, ...]]:
     """The anchors of a text of any size, slab by slab; a fragment that a slab's end cuts is two."""
     x = np.frombuffer(raw, np.uint8)
     for at in range(0, max(1, len(x) - length + 1), SLAB):
-        p, first, last, h = anchors(x[at : at + SLAB + length - 1], length, k)
-        yield p + at, first, last, h
+        p, *rest = anchors(x[at : at + SLAB + length - 1], length, k)
+        yield p + at, *rest
 
 
 def runs(raw: bytes, at: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -231,122 +253,39 @@ def _without(order: np.ndarray, lcp: np.ndarray, stay: np.ndarray, gid: np.ndarr
     return new, least
 
 
-#: A fragment: (group, doc number or any payload, first, last, bytes).
-Fragment = tuple[int, object, int, int, bytes]
-
-
-def narrow(fragment: Fragment, low: int, high: int, length: int = LENGTH) -> Fragment | None:
-    """The fragment's windows low..high, regrouped by the bytes that all such windows of the group would share."""
-    group, payload, first, last, raw = fragment
-    a, b = max(first, low), min(last, high)
-    if a > b:
-        return None
-    body = raw[last - b : last + length - a]
-    shared = raw[last - low : last + length - high]
-    key = hashlib.blake2b(shared, digest_size=8, salt=low.to_bytes(8, "little"), key=(group & ((1 << 64) - 1)).to_bytes(8, "little")).digest()
-    return int.from_bytes(key, "little", signed=True), payload, a, b, body
-
-
-class FragmentQueue:
-    """A priority queue of fragments by group: sorted runs on disk, merged as they are taken; memory is bounded.
-
-    The runs are unnamed temporary files of this task and vanish with it.
-    """
-
-    def __init__(self, limit: int = QUEUE_BYTES) -> None:
-        self.limit, self.held, self.size, self.runs = limit, [], 0, []
-
-    def push(self, fragment: Fragment) -> None:
-        self.held.append(fragment)
-        self.size += len(fragment[4]) + 200
-        if self.size > self.limit:
-            self.held.sort(key=_group)
-            run = tempfile.TemporaryFile()
-            for at in range(0, len(self.held), 1024):
-                pickle.dump(self.held[at : at + 1024], run, pickle.HIGHEST_PROTOCOL)
-            run.seek(0)
-            self.runs.append(run)
-            self.held, self.size = [], 0
-
-    def _read(self, run) -> Iterator[Fragment]:
-        with run:
-            while True:
-                try:
-                    yield from pickle.load(run)
-                except EOFError:
-                    return
-
-    def drain(self) -> Iterator[Fragment]:
-        """All fragments in the order of their groups; empties the queue."""
-        held, runs = sorted(self.held, key=_group), self.runs
-        self.held, self.size, self.runs = [], 0, []
-        yield from heapq.merge(held, *map(self._read, runs), key=_group) if runs else held
-
-
-def _group(fragment: Fragment) -> int:
-    return fragment[0]
-
-
-Found = tuple[object, int, int]
-
-
-def sort_shard(fragments: Iterable[Fragment], batch: int = BATCH, length: int = LENGTH, limit: int = QUEUE_BYTES, span: tuple[int, int] | None = None) -> Iterator[Found]:
-    """(payload, first j, last j) of the runs of repeated windows in a shard whose fragments have windows in span."""
-    queue = FragmentQueue(limit)
-    for f in fragments:
-        queue.push(f)
-    low, high = span or (0, length - 1)
-    middle = (low + high) // 2
-    halves = {part: FragmentQueue(limit // 2) for part in {(low, middle), (middle + 1, high)} if low < high}
-    waiting: list[Fragment] = []
-    for _, members in groupby(queue.drain(), key=_group):
-        head = list(islice(members, batch + 1))
-        if len(head) <= batch:
-            if len(waiting) + len(head) > batch:
-                yield from _induced(waiting, length)
-                waiting = []
-            waiting += head
-        elif low == high:
-            # The group's key covers the one window whole: all are equal, but for a collision of keys.
-            model = head[0][4]
-            for f in chain(head, members):
-                if f[4] == model:
-                    yield f[1], f[2], f[3]
-                else:
-                    waiting.append(f)
-        else:
-            for f in chain(head, members):
-                for part, half in halves.items():
-                    if (piece := narrow(f, *part, length)) is not None:
-                        half.push(piece)
-    if waiting:
-        yield from _induced(waiting, length)
-    for part, half in halves.items():
-        if half.held or half.runs:
-            yield from sort_shard(half.drain(), batch, length, limit // 2, part)
-
-
-def _induced(fragments: list[Fragment], length: int) -> Iterator[Found]:
-    """Runs of repeated windows of whole groups."""
-    group = np.array([f[0] for f in fragments], np.int64)
-    first, last = (np.array([f[i] for f in fragments], np.int64) for i in (2, 3))
-    data = np.frombuffer(b"".join([f[4] for f in fragments]), np.uint8)
-    offsets = np.r_[0, np.cumsum([len(f[4]) for f in fragments])]
+def sort_batch(group: np.ndarray, first: np.ndarray, last: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fragment, first j, last j) of the runs of repeated windows in whole groups of fragments."""
     found = repeated_windows(group, first, last, data, offsets, length)
     edges = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     rows, starts = np.nonzero(edges == 1)
     _, ends = np.nonzero(edges == -1)
-    for i, a, b in zip(rows.tolist(), starts.tolist(), ends.tolist()):
-        yield fragments[i][1], a, b - 1
+    return rows, starts, ends - 1
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """All columns of docs, text not null, with a 128-bit key (_k1, _k2) of doc_id and text."""
-    body = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    return body.withColumns({"_k1": F.xxhash64("doc_id", "text"), "_k2": F.xxhash64("text", F.lit(7), "doc_id")})
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
+    """Tables of `least` rows or more (but for the last) from batches in the order of `key`, cut between its values."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < least:
+            continue
+        table = pa.Table.from_batches(held)
+        values = table.column(key).to_numpy()
+        cut = int(np.flatnonzero(values != values[-1])[-1]) + 1 if values[0] != values[-1] else 0
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _key(text: Column | str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), text)
 
 
 def _anchor_rows(length: int, k: int) -> Callable:
+    names = ["_k1", "_k2", "h", "f", "packed", "extent"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident("suffixes", dict)
         for batch in batches:
@@ -354,63 +293,86 @@ def _anchor_rows(length: int, k: int) -> Callable:
             held, rows = [], 0
             for at, text in enumerate(batch.column(2)):
                 raw = text.as_py().encode()
-                for p, first, last, h in text_anchors(raw, length, k):
+                for p, first, last, h, f in text_anchors(raw, length, k):
                     if len(p):
                         stay, extent = runs(raw, p, first, last, h, length)
                         packed = (p << 16 | first << 8 | last)[stay]
-                        held.append((np.full(len(packed), at), h[stay].view(np.int64), packed, extent[stay]))
+                        held.append((np.full(len(packed), at), h[stay].view(np.int64), f[stay].view(np.int64), packed, extent[stay]))
                         rows += len(packed)
                 if held and (rows > 1 << 17 or at + 1 == batch.num_rows):
-                    at_row, h, packed, extent = (np.concatenate(x) for x in zip(*held))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[0][at_row]), pa.array(keys[1][at_row]), pa.array(h), pa.array(packed), pa.array(extent)], ["_k1", "_k2", "h", "packed", "extent"])
+                    at_row, *columns = (np.concatenate(x) for x in zip(*held))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[0][at_row]), pa.array(keys[1][at_row]), *map(pa.array, columns)], names)
                     held, rows = [], 0
 
     return run
 
 
-def _fragment_rows(length: int, k: int) -> Callable:
-    blocks = [(at, min(at + 15, length - k)) for at in range(0, length - k + 1, 16)]
+def _chosen(batch: pa.RecordBatch, length: int, hot: bool) -> Iterator[tuple]:
+    """For each text of the batch: its row, its bytes, and of its hot (or other) fragments anchor, position, extent, first, last, start and end."""
+    for at, (text, chosen) in enumerate(zip(batch.column(2), batch.column(3))):
+        packed, h, extent, is_hot = (chosen.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+        mine = np.flatnonzero(is_hot == hot)
+        if len(mine):
+            packed, h, extent = packed[mine], h[mine], extent[mine]
+            p, first, last = packed >> 16, packed >> 8 & 255, packed & 255
+            yield at, text.as_py().encode(), h, p, extent, first, last, p - last, p - first + length
+
+
+def _fragment_rows(length: int) -> Callable:
+    names = ["_k1", "_k2", "shard", "p", "extent", "first", "last", "raw"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident("suffixes", dict)
         for batch in batches:
-            out: list[tuple] = []
-            size = 0
-            for k1, k2, text, chosen in zip(*[batch.column(i) for i in range(4)]):
-                k1, k2, raw, values = k1.as_py(), k2.as_py(), text.as_py().encode(), chosen.values
-                for packed, h, extent, hot in zip(*[values.field(i).to_pylist() for i in range(4)]):
-                    p, first, last = packed >> 16, packed >> 8 & 255, packed & 255
-                    whole = (h, (p, extent), first, last, raw[p - last : p - first + length])
-                    for f in [whole] if not hot else [x for b in blocks if (x := narrow(whole, *b, length)) is not None]:
-                        out.append((k1, k2, f[0], *f[1], *f[2:]))
-                        size += len(f[4])
+            keys = [np.asarray(batch.column(i)) for i in (0, 1)]
+            held, pieces, size = [], [], 0
+
+            def full() -> pa.RecordBatch:
+                at_row, h, p, extent, first, last = (np.concatenate(x) for x in zip(*held))
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[0][at_row], keys[1][at_row], h, p, extent, first.astype(np.int16), last.astype(np.int16))] + [pa.array(pieces, pa.binary())], names)
+
+            for at, raw, h, p, extent, first, last, start, end in _chosen(batch, length, False):
+                held.append((np.full(len(p), at), h, p, extent, first, last))
+                pieces += [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
+                size += int((end - start).sum())
                 if size > 1 << 23:
-                    yield _fragment_batch(out)
-                    out, size = [], 0
-            if out:
-                yield _fragment_batch(out)
+                    yield full()
+                    held, pieces, size = [], [], 0
+            if held:
+                yield full()
 
     return run
 
 
-def _fragment_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [*[pa.int64()] * 5, pa.int16(), pa.int16(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["_k1", "_k2", "shard", "p", "extent", "first", "last", "raw"])
-
+def _window_rows(length: int, k: int) -> Callable:
+    names = ["_k1", "_k2", "h", "w", "start", "end"]
 
-def _shard_rows(length: int, k: int, batch_size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident("suffixes", dict)
-        def fragments() -> Iterator[Fragment]:
-            for batch in batches:
-                k1, k2, shard, p, extent, first, last, raw = (c.to_pylist() for c in batch.columns)
-                yield from zip(shard, zip(k1, k2, p, extent), first, last, raw)
+        for batch in batches:
+            keys = [np.asarray(batch.column(i)) for i in (0, 1)]
+            for at, raw, h, p, extent, first, last, start, end in _chosen(batch, length, True):
+                found = [windows(raw[a:b], length, k) for a, b in zip(start.tolist(), end.tolist())]
+                count = last - first + 1
+                begin = np.concatenate([np.arange(a, a + n) for a, n in zip(start.tolist(), count.tolist())])
+                for i in range(0, len(begin), 1 << 16):
+                    some = slice(i, i + (1 << 16))
+                    n = len(begin[some])
+                    columns = (np.full(n, keys[0][at]), np.full(n, keys[1][at]), np.repeat(h, count)[some], np.concatenate(found).view(np.int64)[some], begin[some], begin[some] + np.repeat(extent, count)[some] + length)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-        found = sort_shard(fragments(), batch_size, length, span=(0, length - k))
-        while some := list(islice(found, 1 << 16)):
-            rows = np.array([(*f[0], f[1], f[2]) for f in some], np.int64)
-            start, end = rows[:, 2] - rows[:, 5], rows[:, 2] + rows[:, 3] - rows[:, 4] + length
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(start), pa.array(end)], ["_k1", "_k2", "start", "end"])
+    return run
+
+
+def _shard_rows(length: int, batch_size: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("suffixes", dict)
+        for table in whole_groups(batches, "shard", batch_size):
+            k1, k2, shard, p, extent, first, last = (table.column(i).to_numpy().astype(np.int64, copy=False) for i in range(7))
+            data = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8)
+            offsets = np.r_[0, np.cumsum(length + last - first)]
+            row, a, b = sort_batch(shard, first, last, data, offsets, length)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k1[row], k2[row], p[row] - b, p[row] + extent[row] - a + length)], ["_k1", "_k2", "start", "end"])
 
     return run
 
@@ -430,6 +392,7 @@ def _kept(raw: bytes, spans: pa.Scalar) -> tuple[bytes, int]:
 
 
 def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    resident("suffixes", dict)
     for batch in batches:
         out = []
         for text, spans in zip(batch.column(1), batch.column(2)):
@@ -440,51 +403,69 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _text_rows(names: list[str]) -> Callable:
-    at = names.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        resident("suffixes", dict)
-        for batch in batches:
-            texts = [_kept(text.as_py().encode(), spans)[0].decode("utf-8", "ignore") for text, spans in zip(batch.column(at), batch.column(len(names)))]
-            columns = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return run
+def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    resident("suffixes", dict)
+    for batch in batches:
+        texts = [_kept(text.as_py().encode(), spans)[0].decode("utf-8", "ignore") for text, spans in zip(batch.column(1), batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH) -> DataFrame:
-    """All columns of docs and _spans, the (start, end) byte ranges that repeat; they may touch or overlap.
+def judged(docs: DataFrame, carry: Column, length: int = LENGTH, k: int = K, batch: int = BATCH, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of docs in three parts, each with `row` (what `carry` holds):
 
-    The texts are dealt by key once; both joins below read the same exchange,
-    which takes the same columns on either side.
+    row, text of those under `length` bytes; row, n_bytes of those whose text
+    occurs more than once; row, text and _spans of the others, the (start, end)
+    byte ranges that repeat, which may touch or overlap.
     """
     small_batches(docs.sparkSession)
-    texts = keyed(docs)
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), carry.alias("row")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    short, long = rows.filter(F.col("n_bytes") < length).select("row", "text"), rows.filter(F.col("n_bytes") >= length)
+    keyed = long.select(_key("text", 0).alias("_k1"), _key("text", 1).alias("_k2"), "text", "row", "n_bytes")
+    again = keyed.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_k1", "_k2")
+    copied = keyed.select("_k1", "_k2", "row", "n_bytes").join(again, ["_k1", "_k2"], "left_semi").select("row", "n_bytes")
+    # One exchange brings each text once to its key. Every use below reads it, so each must take all of its columns.
+    texts = keyed.groupBy("_k1", "_k2").agg(F.first(F.struct("text", "row")).alias("_v"), F.count(F.lit(1)).alias("_copies")).select("_k1", "_k2", F.col("_v.text").alias("text"), "_v", "_copies")
     # The anchors are found twice, once to count them: that costs less than to keep them.
-    found = texts.select("_k1", "_k2", "text").mapInArrow(_anchor_rows(length, k), "_k1 long, _k2 long, h long, packed long, extent long")
-    repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
-    chosen = found.join(repeated, "h").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("packed", "h", "extent", "hot")).alias("_chosen"))
-    fragments = (
-        texts.join(chosen.hint("shuffle_hash"), ["_k1", "_k2"])
-        .select("_k1", "_k2", "text", "_chosen", *[c for c in docs.columns if c != "text"])
-        .mapInArrow(_fragment_rows(length, k), "_k1 long, _k2 long, shard long, p long, extent long, first short, last short, raw binary")
-    )
-    spans = fragments.repartition("shard").mapInArrow(_shard_rows(length, k, batch), "_k1 long, _k2 long, start long, end long")
+    found = texts.select("_k1", "_k2", "text", "_copies").mapInArrow(_anchor_rows(length, k), "_k1 long, _k2 long, h long, f long, packed long, extent long")
+    groups = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("lo"), F.max("f").alias("hi")).filter("n > 1").select("h", "n", (F.col("lo") == F.col("hi")).alias("alike"))
+    met = found.join(groups.hint("shuffle_hash"), "h").withColumns({"g": F.xxhash64("h", "f"), "id": F.xxhash64("_k1", "_k2", "packed", "extent")})
+    mixed = met.filter(~F.col("alike"))
+    equal = mixed.groupBy("g", "f").agg(F.count(F.lit(1)).alias("equals"), F.min("id").alias("one"))
+    told = mixed.join(equal, ["g", "f"])
+    place = F.shiftright("packed", 16)
+    first, last = F.shiftright("packed", 8).bitwiseAND(F.lit(255)), F.col("packed").bitwiseAND(F.lit(255))
+    span = ["_k1", "_k2", (place - last).alias("start"), (place + F.col("extent") - first + length).alias("end")]
+    ship = told.filter((F.col("equals") == 1) | (F.col("id") == F.col("one"))).select("_k1", "_k2", "packed", "h", "extent", (F.col("n") > hot).alias("hot"))
+    chosen = ship.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("packed", "h", "extent", "hot")).alias("_chosen"))
+    cut = texts.join(chosen.hint("shuffle_hash"), ["_k1", "_k2"]).select("_k1", "_k2", "text", "_chosen", "_copies")
+    fragments = cut.mapInArrow(_fragment_rows(length), "_k1 long, _k2 long, shard long, p long, extent long, first short, last short, raw binary")
+    sorted_ = fragments.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shard_rows(length, batch), "_k1 long, _k2 long, start long, end long")
+    single = cut.filter(F.exists("_chosen", lambda c: c["hot"])).mapInArrow(_window_rows(length, k), "_k1 long, _k2 long, h long, w long, start long, end long")
+    twice = single.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w")
+    by_window = single.join(twice, ["h", "w"]).select("_k1", "_k2", "start", "end")
+    spans = met.filter("alike").select(*span).union(told.filter("equals > 1").select(*span)).union(sorted_).union(by_window)
     by_text = spans.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    return texts.join(by_text.hint("shuffle_hash"), ["_k1", "_k2"], "left").select(*docs.columns, "_spans")
+    alone = texts.join(by_text.hint("shuffle_hash"), ["_k1", "_k2"], "left").filter("_copies = 1").select("_v.row", "text", "_spans")
+    return short, copied, alone
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = with_spans(docs.select("doc_id", "text"), length, k, batch)
-    return found.mapInArrow(_digest_rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    short, copied, alone = judged(docs, F.col("doc_id"), length, k, batch, hot)
+    none = F.lit(0).cast("long")
+    n = F.octet_length("text").cast("long")
+    as_they_are = short.select(F.col("row").alias("doc_id"), n.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    gone = copied.select(F.col("row").alias("doc_id"), "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
+    rest = alone.mapInArrow(_digest_rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return as_they_are.union(gone).union(rest)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH, hot: int = HOT) -> DataFrame:
     """All columns of docs, text without its repeated bytes; a character that a cut splits goes whole."""
-    rest = [c for c in docs.columns if c != "text"]
-    rows = docs.select("doc_id", "text", F.struct(*rest).alias("row"))
-    kept = with_spans(rows, length, k, batch).mapInArrow(_text_rows(rows.columns), rows.schema)
+    carry = F.struct(*[c for c in docs.columns if c != "text"])
+    short, copied, alone = judged(docs, carry, length, k, batch, hot)
+    kind = alone.schema["row"].dataType.simpleString()
+    rest = alone.mapInArrow(_text_rows, f"row {kind}, text string")
+    kept = short.union(copied.select("row", F.lit("").alias("text"))).union(rest)
     return kept.select(*[F.col(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

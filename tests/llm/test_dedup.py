@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -14,7 +15,7 @@ from quern.llm.line_dedup import cleaned, line_dedup
 from quern.llm.packing import best_fit, cut, sweeps
 from quern.llm.queries import tokenizer
 from quern.llm.simhash_dedup import Forest, Tree, blocks, links, near_dedup, shard_links, simhash_components
-from quern.llm.suffix_dedup import narrow, remove_repeats, runs, sort_shard, text_anchors, without_repeats
+from quern.llm.suffix_dedup import remove_repeats, runs, sort_batch, text_anchors, whole_groups, windows, without_repeats
 from tests.llm.helpers import awkward, nothing, texts
 
 
@@ -31,21 +32,28 @@ def covered(raws, length):
     return out
 
 
-def sharded(raws, length, k, batch, limit, split=False):
+def sharded(raws, length, k, batch):
     anchored = [[tuple(a) for a in text_anchors(t, length, k)] for t in raws]
     count = Counter(h for doc in anchored for a in doc for h in a[3].tolist())
-    blocks = [(a, min(a + 7, length - k)) for a in range(0, length - k + 1, 8)]
     fragments = []
     for d, doc in enumerate(anchored):
-        for p, first, last, h in doc:
+        for p, first, last, h, _ in doc:
             for at, a, b, key, g in zip(p.tolist(), first.tolist(), last.tolist(), h.tolist(), h.view(np.int64).tolist()):
                 if count[key] > 1:
-                    whole = (g, (d, at), a, b, raws[d][at - b : at - a + length])
-                    fragments += [x for s in blocks if (x := narrow(whole, *s, length))] if split else [whole]
+                    fragments.append((g, d, at, a, b, raws[d][at - b : at - a + length]))
     random.shuffle(fragments)
+    fragments.sort(key=lambda f: f[0])
     masks = [np.zeros(len(t), bool) for t in raws]
-    for (d, at), a, b in sort_shard(fragments, batch, length, limit, (0, length - k)):
-        masks[d][at - b : at - a + length] = True
+    kinds = dict(shard=pa.int64(), d=pa.int64(), p=pa.int64(), first=pa.int64(), last=pa.int64(), raw=pa.binary())
+    table = pa.table([pa.array([f[i] for f in fragments], t) for i, t in enumerate(kinds.values())], list(kinds))
+    seen = []
+    for part in whole_groups(iter(table.to_batches(max_chunksize=7)), "shard", batch):
+        seen += sorted(set(part["shard"].to_pylist()))
+        group, d, p, first, last = (part[c].to_numpy() for c in list(kinds)[:5])
+        pieces = part["raw"].to_pylist()
+        for row, a, b in zip(*sort_batch(group, first, last, np.frombuffer(b"".join(pieces), np.uint8), np.r_[0, np.cumsum([len(x) for x in pieces])], length)):
+            masks[d[row]][p[row] - b : p[row] - a + length] = True
+    assert len(seen) == len(set(seen)), "a group in two batches"
     return masks
 
 
@@ -66,13 +74,32 @@ def test_shards_of_any_size_equal_brute_force():
             raws.append(bytes(t))
         raws += [b"abc" * 60, b"\x00" * 50]
         want = covered(raws, length)
-        for batch, limit, split in ((10**6, 1 << 30, False), (50, 1 << 30, False), (1, 3000, False), (40, 1 << 30, True)):
-            assert all((a == b).all() for a, b in zip(want, sharded(raws, length, k, batch, limit, split)))
+        for batch in (10**6, 50, 1):
+            assert all((a == b).all() for a, b in zip(want, sharded(raws, length, k, batch)))
+
+
+def test_hashes_follow_the_content_alone():
+    random.seed(15)
+    part = bytes(random.choice(b"abcdef ") for _ in range(900))
+    raws = [b"x" * 300 + part, part + b"y" * 77, bytes(random.choice(b"abc") for _ in range(400)) + part + b"z" * 210]
+    for length, k in ((200, 56), (40, 11)):
+        of = {}
+        for raw in raws:
+            for p, first, last, h, f in text_anchors(raw, length, k):
+                for at, a, b, x, y in zip(p.tolist(), first.tolist(), last.tolist(), h.tolist(), f.tolist()):
+                    of.setdefault((x, y), set()).add((a, b, raw[at - b : at - a + length]))
+            assert len(windows(raw, length, k)) == len(raw) - length + 1
+        assert all(len(x) == 1 for x in of.values())
+        by = {}
+        for raw in raws:
+            for i, w in enumerate(windows(raw, length, k).tolist()):
+                by.setdefault(w, set()).add(raw[i : i + length])
+        assert all(len(x) == 1 for x in by.values()) and len(by) == len(set().union(*by.values()))
 
 
 def test_periodic_runs_keep_two_anchors():
     raw = b"Is onhe. " * 100
-    (p, first, last, h), = text_anchors(raw)
+    (p, first, last, h, _), = text_anchors(raw)
     stay, extent = runs(raw, p, first, last, h)
     assert stay.sum() < 12 and extent.max() > 300
 
@@ -89,12 +116,27 @@ def test_remove_repeats(spark):
         kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
         want[(i, len(raw), int(mask.sum()), int((np.diff(np.r_[0, mask.astype(np.int8)]) == 1).sum()), hashlib.sha256(kept).hexdigest())] += 1
     assert Counter(map(tuple, remove_repeats(docs).collect())) == want
+    # Every shared anchor counted window by window, and batches of one group.
+    assert Counter(map(tuple, remove_repeats(docs, batch=1, hot=1).collect())) == want
+    assert Counter(map(tuple, remove_repeats(docs, batch=3, hot=3).collect())) == want
     assert remove_repeats(nothing(spark)).count() == 0
     kept = without_repeats(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count() and kept.filter("doc_id = 104 AND text = ''").count() == 0
     assert kept.filter("doc_id = 107").first()["text"] == ""
 
 
+def test_many_equal_rows_cost_what_one_does(spark):
+    random.seed(7)
+    text = " ".join(str(random.randrange(10**6)) for _ in range(450))
+    rows = [(1, text)] * 10_000 + [(2, text[:400] + "!" * 300), (3, "z" + text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = Counter(map(tuple, remove_repeats(docs).collect()))
+    empty = hashlib.sha256(b"").hexdigest()
+    n = len(text)
+    assert found[(1, n, n, 1, empty)] == 10_000 and found[(3, n + 1, n, 1, hashlib.sha256(b"z").hexdigest())] == 1
+    assert sum(found.values()) == 10_002 and [r[2] for r in found if r[0] == 2] == [700]
+
+
 def fingerprint(text):
     t = text.translate({i: i + 32 for i in range(65, 91)})
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
