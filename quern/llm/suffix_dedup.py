@@ -25,7 +25,7 @@ no repeated string, so the work is split without losing any match:
    (one more byte, plus the least value in between). It begins at the far right
    end, 8 bytes a step. At each distance, neighbours with LENGTH common bytes
    are repeated windows.
-6. Anchors that over HOT fragments share would fill one task. Their fragments
+6. Anchors that thousands of different fragments share would fill one task. Their fragments
    are split down to single windows, which are counted by anchor and window
    hash (64 bits each): partial counts, then verdicts by a join whose hot keys
    adaptive execution splits.
@@ -48,8 +48,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quern.llm.common import resident, small_batches
 
 LENGTH, K = 200, 56
-#: Fragments in one induction batch, and fragments of an anchor from which it is counted window by window.
-BATCH, HOT = 16_384, 1_000
+#: Fragments in one induction batch; an anchor is counted window by window from HOT fragments on, if one in eight of their
+#: kinds fill KINDS of 64 places of a bitmap (some 2000 kinds do).
+BATCH, HOT, KINDS = 16_384, 1_000, 63
 #: Bytes hashed at once.
 SLAB = 1 << 18
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -283,6 +284,21 @@ def _key(text: Column | str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), text)
 
 
+def _other(key: str) -> Column:
+    """The key under another value, one to one: the planner takes it for another key."""
+    return F.col(key).bitwiseXOR(F.lit(0x5555555555555555))
+
+
+def _types(names: str) -> str:
+    return ", ".join(f"{n} long NOT NULL" for n in names.split())
+
+
+def _span(c: Column, length: int) -> Column:
+    """The bytes that all windows of a fragment cover, those of the run that it stands for included."""
+    p, first, last = F.shiftright(c["packed"], 16), F.shiftright(c["packed"], 8).bitwiseAND(F.lit(255)), c["packed"].bitwiseAND(F.lit(255))
+    return F.struct((p - last).alias("start"), (p + c["extent"] - first + length).alias("end"))
+
+
 def _anchor_rows(length: int, k: int) -> Callable:
     names = ["_k1", "_k2", "h", "f", "packed", "extent"]
 
@@ -307,11 +323,11 @@ def _anchor_rows(length: int, k: int) -> Callable:
     return run
 
 
-def _chosen(batch: pa.RecordBatch, length: int, hot: bool) -> Iterator[tuple]:
-    """For each text of the batch: its row, its bytes, and of its hot (or other) fragments anchor, position, extent, first, last, start and end."""
+def _chosen(batch: pa.RecordBatch, length: int, flag: str) -> Iterator[tuple]:
+    """For each text of the batch: its row, its bytes, and of its fragments with the flag anchor, position, extent, first, last, start and end."""
     for at, (text, chosen) in enumerate(zip(batch.column(2), batch.column(3))):
-        packed, h, extent, is_hot = (chosen.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-        mine = np.flatnonzero(is_hot == hot)
+        packed, h, extent, flagged = (chosen.values.field(n).to_numpy(zero_copy_only=False) for n in ("packed", "h", "extent", flag))
+        mine = np.flatnonzero(flagged)
         if len(mine):
             packed, h, extent = packed[mine], h[mine], extent[mine]
             p, first, last = packed >> 16, packed >> 8 & 255, packed & 255
@@ -331,7 +347,7 @@ def _fragment_rows(length: int) -> Callable:
                 at_row, h, p, extent, first, last = (np.concatenate(x) for x in zip(*held))
                 return pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[0][at_row], keys[1][at_row], h, p, extent, first.astype(np.int16), last.astype(np.int16))] + [pa.array(pieces, pa.binary())], names)
 
-            for at, raw, h, p, extent, first, last, start, end in _chosen(batch, length, False):
+            for at, raw, h, p, extent, first, last, start, end in _chosen(batch, length, "sort"):
                 held.append((np.full(len(p), at), h, p, extent, first, last))
                 pieces += [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
                 size += int((end - start).sum())
@@ -351,7 +367,7 @@ def _window_rows(length: int, k: int) -> Callable:
         resident("suffixes", dict)
         for batch in batches:
             keys = [np.asarray(batch.column(i)) for i in (0, 1)]
-            for at, raw, h, p, extent, first, last, start, end in _chosen(batch, length, True):
+            for at, raw, h, p, extent, first, last, start, end in _chosen(batch, length, "count"):
                 found = [windows(raw[a:b], length, k) for a, b in zip(start.tolist(), end.tolist())]
                 count = last - first + 1
                 begin = np.concatenate([np.arange(a, a + n) for a, n in zip(start.tolist(), count.tolist())])
@@ -377,11 +393,12 @@ def _shard_rows(length: int, batch_size: int) -> Callable:
     return run
 
 
-def _kept(raw: bytes, spans: pa.Scalar) -> tuple[bytes, int]:
-    """What stays of raw, and the number of maximal removed runs."""
+def _kept(raw: bytes, *lists: pa.Scalar) -> tuple[bytes, int]:
+    """What stays of raw without the spans of the lists, and the number of maximal removed runs."""
     merged: list[list[int]] = []
-    if spans.is_valid:
-        starts, ends = (spans.values.field(i).to_numpy() for i in range(2))
+    known = [x.values for x in lists if x.is_valid and len(x)]
+    if known:
+        starts, ends = (np.concatenate([v.field(i).to_numpy(zero_copy_only=False) for v in known]) for i in range(2))
         for i in np.argsort(starts, kind="stable").tolist():
             if merged and starts[i] <= merged[-1][1]:
                 merged[-1][1] = max(merged[-1][1], int(ends[i]))
@@ -395,9 +412,9 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     resident("suffixes", dict)
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column(1), batch.column(2)):
+        for text, *spans in zip(*batch.columns[1:]):
             raw = text.as_py().encode()
-            kept, runs = _kept(raw, spans)
+            kept, runs = _kept(raw, *spans)
             out.append((len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -406,16 +423,16 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     resident("suffixes", dict)
     for batch in batches:
-        texts = [_kept(text.as_py().encode(), spans)[0].decode("utf-8", "ignore") for text, spans in zip(batch.column(1), batch.column(2))]
+        texts = [_kept(text.as_py().encode(), *spans)[0].decode("utf-8", "ignore") for text, *spans in zip(*batch.columns[1:])]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
 
-def judged(docs: DataFrame, carry: Column, length: int = LENGTH, k: int = K, batch: int = BATCH, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def judged(docs: DataFrame, carry: Column, length: int = LENGTH, k: int = K, batch: int = BATCH, hot: int = HOT, kinds: int = KINDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows of docs in three parts, each with `row` (what `carry` holds):
 
     row, text of those under `length` bytes; row, n_bytes of those whose text
-    occurs more than once; row, text and _spans of the others, the (start, end)
-    byte ranges that repeat, which may touch or overlap.
+    occurs more than once; row, text, _whole and _spans of the others, the
+    (start, end) byte ranges that repeat, which may touch or overlap.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), carry.alias("row")).withColumn("n_bytes", F.octet_length("text").cast("long"))
@@ -426,33 +443,37 @@ def judged(docs: DataFrame, carry: Column, length: int = LENGTH, k: int = K, bat
     # One exchange brings each text once to its key. Every use below reads it, so each must take all of its columns.
     texts = keyed.groupBy("_k1", "_k2").agg(F.first(F.struct("text", "row")).alias("_v"), F.count(F.lit(1)).alias("_copies")).select("_k1", "_k2", F.col("_v.text").alias("text"), "_v", "_copies")
     # The anchors are found twice, once to count them: that costs less than to keep them.
-    found = texts.select("_k1", "_k2", "text", "_copies").mapInArrow(_anchor_rows(length, k), "_k1 long, _k2 long, h long, f long, packed long, extent long")
-    groups = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("lo"), F.max("f").alias("hi")).filter("n > 1").select("h", "n", (F.col("lo") == F.col("hi")).alias("alike"))
-    met = found.join(groups.hint("shuffle_hash"), "h").withColumns({"g": F.xxhash64("h", "f"), "id": F.xxhash64("_k1", "_k2", "packed", "extent")})
-    mixed = met.filter(~F.col("alike"))
-    equal = mixed.groupBy("g", "f").agg(F.count(F.lit(1)).alias("equals"), F.min("id").alias("one"))
-    told = mixed.join(equal, ["g", "f"])
-    place = F.shiftright("packed", 16)
-    first, last = F.shiftright("packed", 8).bitwiseAND(F.lit(255)), F.col("packed").bitwiseAND(F.lit(255))
-    span = ["_k1", "_k2", (place - last).alias("start"), (place + F.col("extent") - first + length).alias("end")]
-    ship = told.filter((F.col("equals") == 1) | (F.col("id") == F.col("one"))).select("_k1", "_k2", "packed", "h", "extent", (F.col("n") > hot).alias("hot"))
-    chosen = ship.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("packed", "h", "extent", "hot")).alias("_chosen"))
+    found = texts.select("_k1", "_k2", "text", "_copies").mapInArrow(_anchor_rows(length, k), _types("_k1 _k2 h f packed extent"))
+    kind = F.when(F.col("f").bitwiseAND(F.lit(7)) == 0, F.expr("shiftleft(1L, cast(shiftright(f, 3) & 63 AS int))")).otherwise(F.lit(0))
+    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("lo"), F.max("f").alias("hi"), F.bit_or(kind).alias("kinds")).filter("n > 1")
+    # One value, so that no use leaves out a count: 0, all fragments alike; 2, hot; 1, others.
+    group = F.when(F.col("lo") == F.col("hi"), 0).when((F.col("n") > hot) & (F.bit_count("kinds") >= kinds), 2).otherwise(1)
+    groups = counts.select(_other("h").alias("h"), group.alias("group"))
+    # Keys of joins differ from those of the aggregates beside them, so that both sides are exchanged and a hot key can be split.
+    met = found.withColumn("h", _other("h")).join(groups, "h").withColumn("g", F.col("h").bitwiseXOR(F.col("f")))
+    own = F.xxhash64("_k1", "_k2", "packed", "extent")
+    equal = met.filter("group > 0").groupBy("g", "f").agg(F.count(F.lit(1)).alias("equals"), F.min(own).alias("one"))
+    told = met.withColumn("g", _other("g")).join(equal.withColumn("g", _other("g")), ["g", "f"], "left")
+    whole = F.col("equals").isNull() | (F.col("equals") > 1)
+    sort = F.coalesce((F.col("equals") == 1) | (own == F.col("one")), F.lit(False))
+    about = F.struct("packed", F.col("g").bitwiseXOR(F.col("f")).alias("h"), "extent", (sort & (F.col("group") == 1)).alias("sort"), (sort & (F.col("group") == 2)).alias("count"), whole.alias("whole"))
+    chosen = told.groupBy("_k1", "_k2").agg(F.collect_list(about).alias("_chosen"))
     cut = texts.join(chosen.hint("shuffle_hash"), ["_k1", "_k2"]).select("_k1", "_k2", "text", "_chosen", "_copies")
-    fragments = cut.mapInArrow(_fragment_rows(length), "_k1 long, _k2 long, shard long, p long, extent long, first short, last short, raw binary")
-    sorted_ = fragments.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shard_rows(length, batch), "_k1 long, _k2 long, start long, end long")
-    single = cut.filter(F.exists("_chosen", lambda c: c["hot"])).mapInArrow(_window_rows(length, k), "_k1 long, _k2 long, h long, w long, start long, end long")
-    twice = single.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w")
-    by_window = single.join(twice, ["h", "w"]).select("_k1", "_k2", "start", "end")
-    spans = met.filter("alike").select(*span).union(told.filter("equals > 1").select(*span)).union(sorted_).union(by_window)
-    by_text = spans.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    alone = texts.join(by_text.hint("shuffle_hash"), ["_k1", "_k2"], "left").filter("_copies = 1").select("_v.row", "text", "_spans")
+    fragments = cut.filter(F.exists("_chosen", lambda c: c["sort"])).mapInArrow(_fragment_rows(length), "_k1 long, _k2 long, shard long, p long, extent long, first short, last short, raw binary")
+    sorted_ = fragments.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shard_rows(length, batch), _types("_k1 _k2 start end"))
+    single = cut.filter(F.exists("_chosen", lambda c: c["count"])).mapInArrow(_window_rows(length, k), _types("_k1 _k2 h w start end"))
+    twice = single.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(_other("h").alias("h"), "w")
+    by_window = single.withColumn("h", _other("h")).join(twice, ["h", "w"]).select("_k1", "_k2", "start", "end")
+    by_text = sorted_.union(by_window).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    all_told = texts.join(chosen.hint("shuffle_hash"), ["_k1", "_k2"], "left").join(by_text.hint("shuffle_hash"), ["_k1", "_k2"], "left")
+    alone = all_told.filter("_copies = 1").select("_v.row", "text", F.transform(F.filter("_chosen", lambda c: c["whole"]), lambda c: _span(c, length)).alias("_whole"), "_spans")
     return short, copied, alone
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH, hot: int = HOT, kinds: int = KINDS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    short, copied, alone = judged(docs, F.col("doc_id"), length, k, batch, hot)
+    short, copied, alone = judged(docs, F.col("doc_id"), length, k, batch, hot, kinds)
     none = F.lit(0).cast("long")
     n = F.octet_length("text").cast("long")
     as_they_are = short.select(F.col("row").alias("doc_id"), n.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
@@ -461,10 +482,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int
     return as_they_are.union(gone).union(rest)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH, hot: int = HOT, kinds: int = KINDS) -> DataFrame:
     """All columns of docs, text without its repeated bytes; a character that a cut splits goes whole."""
     carry = F.struct(*[c for c in docs.columns if c != "text"])
-    short, copied, alone = judged(docs, carry, length, k, batch, hot)
+    short, copied, alone = judged(docs, carry, length, k, batch, hot, kinds)
     kind = alone.schema["row"].dataType.simpleString()
     rest = alone.mapInArrow(_text_rows, f"row {kind}, text string")
     kept = short.union(copied.select("row", F.lit("").alias("text"))).union(rest)

@@ -117,8 +117,8 @@ def test_remove_repeats(spark):
         want[(i, len(raw), int(mask.sum()), int((np.diff(np.r_[0, mask.astype(np.int8)]) == 1).sum()), hashlib.sha256(kept).hexdigest())] += 1
     assert Counter(map(tuple, remove_repeats(docs).collect())) == want
     # Every shared anchor counted window by window, and batches of one group.
-    assert Counter(map(tuple, remove_repeats(docs, batch=1, hot=1).collect())) == want
-    assert Counter(map(tuple, remove_repeats(docs, batch=3, hot=3).collect())) == want
+    assert Counter(map(tuple, remove_repeats(docs, batch=1, hot=1, kinds=0).collect())) == want
+    assert Counter(map(tuple, remove_repeats(docs, batch=3, hot=3, kinds=0).collect())) == want
     assert remove_repeats(nothing(spark)).count() == 0
     kept = without_repeats(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count() and kept.filter("doc_id = 104 AND text = ''").count() == 0
