@@ -16,12 +16,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is configured and all run on one machine (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         configured = "file://" + tempfile.mkdtemp(prefix="quern-")
@@ -32,11 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Returns the new frame and its path, for `discard`.
+    Returns the new frame and its path, for `discard`. What is not discarded is
+    removed when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path), path
 
 

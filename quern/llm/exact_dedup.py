@@ -5,6 +5,14 @@ uniqueness is verified against all chunk contents, and two texts are equal
 exactly if their ordered identifier lists are. Only the distinct chunks cross
 the network once, for the verification; long documents themselves never move.
 
+Boundaries: a text is split into tokens (up to and with the next white space or
+punctuation, 64 characters at most), and a rolling hash of the last WINDOW
+tokens ends a chunk where EVERY divides it. So a boundary depends on the few
+characters before it alone: wherever two texts hold the same passage, their
+cuts fall into step within a chunk, whatever stands before. A stretch of over
+LONG tokens without a boundary (periodic text, most of all) is cut wherever its
+least hash occurs.
+
 Defined results: null text counts as empty (an empty recipe). Rows that repeat
 a doc_id with the same text share one decision. A group whose doc_ids are all
 null keeps every row (keep_id null), so that nothing is lost. Any further
@@ -13,18 +21,55 @@ columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.llm.common import join_groups
+from quern.llm.common import join_groups, materialize
+
+#: Tokens that the rolling hash sees; one in EVERY places is a boundary; tokens from which a stretch without one is cut otherwise.
+WINDOW, EVERY, LONG = 2, 256, 1024
+#: White space or punctuation ends a token.
+TOKEN = r"[^\s\p{P}]{0,63}+[\s\p{P}]|[^\s\p{P}]{1,64}"
+#: Identifiers that more than one content share and that the driver holds; some 70 are expected among 5 * 10**10 chunks.
+MAX_WIDE = 100_000
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once: as a lambda's variable it is not evaluated again for each element of an inner one."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def chunks(text: Column, every: int = EVERY, long: int = LONG) -> Column:
+    """The content-defined chunks of a text, in order; none for an empty text."""
+    none = F.array().cast("array<int>")
 
-#: A chunk has 1024 characters at least and ends at the next sentence or line end, at 4096 at the latest.
-MIN_CHUNK, MAX_CHUNK = 1024, 4096
+    def ends(tokens: Column) -> Column:
+        n = F.size(tokens)
+        hashed = lambda i: F.xxhash64(*[F.get(tokens, i - b) for b in range(WINDOW, 0, -1)])
+        places = lambda a, b: F.when(b - a > 1, F.sequence(a + 1, b - 1)).otherwise(none)
+        marks = F.filter(places(F.lit(0), n), lambda i: F.pmod(hashed(i), F.lit(every)) == 0)
 
+        def least(s: Column) -> Column:
+            inside = places(s["a"], s["b"])
+            return _let(F.array_min(F.transform(inside, hashed)), lambda m: F.filter(inside, lambda i: hashed(i) == m))
 
-def chunks(text: Column, min_chars: int = MIN_CHUNK, max_chars: int = MAX_CHUNK) -> Column:
-    """Content-defined chunks: boundaries depend on the characters before them alone."""
-    cut = rf"(?s).{{{min_chars},{max_chars - 1}}}?[.\n!?]|.{{1,{max_chars}}}"
-    return F.regexp_extract_all(text, F.lit("(?s)" + cut), F.lit(0))
+        def refined(cuts: Column) -> Column:
+            stretches = F.filter(_spans(cuts, n), lambda s: s["b"] - s["a"] > long)
+            return F.array_sort(F.concat(cuts, F.flatten(F.transform(stretches, least))))
+
+        return _let(marks, refined)
+
+    def parts(tokens: Column, cuts: Column) -> Column:
+        filled = F.filter(_spans(cuts, F.size(tokens)), lambda s: s["b"] > s["a"])
+        return F.transform(filled, lambda s: F.array_join(F.slice(tokens, s["a"] + 1, s["b"] - s["a"]), ""))
+
+    return _let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda tokens: _let(ends(tokens), lambda cuts: parts(tokens, cuts)))
+
+
+def _spans(cuts: Column, n: Column) -> Column:
+    """Structs (a, b) of the stretches between cuts, from 0 to n."""
+    return F.arrays_zip(F.concat(F.array(F.lit(0)), cuts).alias("a"), F.concat(cuts, F.array(n)).alias("b"))
 
 
 def _narrow(chunk: Column) -> Column:
@@ -35,35 +80,43 @@ def _wide(chunk: Column) -> Column:
     return F.sha2(chunk, 256)
 
 
-def collisions(pieces: DataFrame) -> DataFrame:
-    """Identifiers that stand for more than one content. pieces: (id, chunk)."""
-    distinct = pieces.groupBy("id", "chunk").agg(F.lit(1).alias("one"))
-    return distinct.groupBy("id").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1")
+def collisions(pieces: DataFrame, key: Sequence[str] = ("id",)) -> DataFrame:
+    """Identifiers that stand for more than one content. pieces: the key columns and chunk."""
+    distinct = pieces.groupBy(*key, "chunk").agg(F.lit(1).alias("one"))
+    return distinct.groupBy(*key).agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1")
 
 
-def recipes(docs: DataFrame, text: str = "text") -> DataFrame:
+def recipes(docs: DataFrame, text: str = "text", identify=_narrow) -> DataFrame:
     """Adds `recipe`, the ordered list of verified chunk identifiers.
 
-    64-bit identifiers are verified first; should two contents share one, all
-    chunks get 256-bit identifiers, which are verified in turn.
+    64-bit identifiers are verified by an action while the plan is built. Where
+    one stands for several contents, identifiers are pairs (id, wide): 256 bits
+    more for such chunks, which are verified in turn, and null for the others.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    for identify in (_narrow, _wide):
-        pieces = docs.select(F.explode(chunks(body)).alias("chunk")).select(identify(F.col("chunk")).alias("id"), "chunk")
-        if collisions(pieces).isEmpty():
-            return docs.withColumn("recipe", F.transform(chunks(body), identify))
-    raise RuntimeError("two chunk contents share a SHA-256 identifier")
-
-
-def exact_dedup(docs: DataFrame) -> DataFrame:
+    body = chunks(F.coalesce(F.col(text), F.lit("")))
+    pieces = docs.select(F.explode(body).alias("chunk")).select(identify(F.col("chunk")).alias("id"), "chunk")
+    shared = [r["id"] for r in collisions(pieces).select("id").limit(MAX_WIDE + 1).collect()]
+    if len(shared) > MAX_WIDE:
+        raise RuntimeError("too many chunk contents share a 64-bit identifier")
+    if not shared:
+        return docs.withColumn("recipe", F.transform(body, identify))
+    known = F.lit(sorted(shared))
+    again = pieces.filter(F.col("id").isin(shared)).select("id", _wide(F.col("chunk")).alias("wide"), "chunk")
+    if not collisions(again, ("id", "wide")).isEmpty():
+        raise RuntimeError("two chunk contents share a SHA-256 identifier")
+    return docs.withColumn("recipe", F.transform(body, lambda c: F.struct(identify(c).alias("id"), F.when(F.array_contains(known, identify(c)), _wide(c)).alias("wide"))))
+
+
+def exact_dedup(docs: DataFrame, identify=_narrow) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the largest doc_id stays. The group table has one row per
     distinct recipe, summed map-side; the rows of hot groups do not move to it.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
-    rows = recipes(docs.select("doc_id", "text")).select("doc_id", "recipe", F.sha2(body, 256).alias("text_sha256"))
+    # A written table, as both the groups and their rows read the recipes.
+    rows, _ = materialize(recipes(docs.select("doc_id", "text"), identify=identify).select("doc_id", "recipe", F.sha2(body, 256).alias("text_sha256")), "recipes")
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return join_groups(rows, groups, "recipe", "group_size", docs.count()).select(
+    return join_groups(rows, groups, "recipe", "group_size", rows.count()).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

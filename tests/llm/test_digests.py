@@ -1,10 +1,13 @@
 """Exact dedup, fingerprints, BPE, language ID."""
 
 import hashlib
+import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -41,44 +44,102 @@ def test_hot_groups_are_joined_apart(spark):
     assert found.filter("doc_id >= 1200 AND group_size = 2").count() == 300
 
 
-def test_chunks_are_whole_and_follow_content(spark):
-    body = "".join(f"sentence number {i} of this text. " for i in range(400))
-    cut = lambda t: spark.range(1).select(chunks(F.lit(t)).alias("c")).first()["c"]
-    a, b = cut(body), cut("A new beginning. " + body)
-    assert "".join(a) == body and len(set(a) & set(b)) == 0 or len(a) > 5
-    assert "".join(cut("z" * 10_000)) == "z" * 10_000 and cut("") == []
+def cut(spark, *bodies):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(bodies)], "i long, text string")
+    return [r["chunks"] for r in rows.select("i", chunks(F.coalesce("text", F.lit(""))).alias("chunks")).orderBy("i").collect()]
 
 
-def test_colliding_identifiers_are_seen(spark):
+def test_chunks_are_whole_and_fall_into_step(spark):
+    random.seed(9)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(random.randint(1, 8)))
+    numbered = "".join(f"sentence number {i} of this text. " for i in range(2000))
+    prose = " ".join(word() for _ in range(6000))
+    same = "Always the very same sentence. " * 1500
+    for body in (numbered, prose, same):
+        a, b, c = cut(spark, body, "17 characters in " + body, body[: len(body) // 2] + "changed" + body[len(body) // 2 :])
+        assert "".join(a) == body and "".join(b) == "17 characters in " + body and len(a) > 4
+        # All but the chunks around the change are shared.
+        assert len([x for x in a if x not in set(b)]) <= 1 and len([x for x in a if x not in set(c)]) <= 2
+    whole = ["", None, "z" * 100_000, "日本語、" * 9000, " " * 5000, ".", "a\nb", "x" * 64, "x" * 65 + " "]
+    assert ["".join(c) for c in cut(spark, *whole)] == [t or "" for t in whole]
+
+
+def test_colliding_identifiers_are_seen_and_widened(spark):
     pieces = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, "c")], "id long, chunk string")
     assert [r["id"] for r in collisions(pieces).collect()] == [2]
-    assert recipes(spark.createDataFrame([("a",)], "text string")).first()["recipe"] is not None
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["aa", "bb", "aa", "ca", "d"])], "doc_id long, text string")
+    by_last = lambda c: F.ascii(F.right(c, F.lit(1))).cast("long")
+    recipe = {r["doc_id"]: r["recipe"][0] for r in recipes(docs, identify=by_last).collect()}
+    assert recipe[0] == recipe[2] != recipe[3] and recipe[3]["wide"] == sha("ca") and recipe[4]["wide"] is None and recipe[1]["wide"] is None
+    assert {r["doc_id"]: r["keep_id"] for r in exact_dedup(docs, by_last).collect()} == {0: 2, 1: 1, 2: 2, 3: 3, 4: 4}
 
 
-def test_fingerprints(spark):
-    docs = awkward(spark)
-    found = fingerprint_documents(docs).collect()
+def simhash(t):
+    """Votes of neighbouring lower-cased words by Spark's xxhash64 of the pair: the hash of the second, seeded by that of the first."""
+    w = [x for x in re.split("[ \\t\\n\\x0b\\x0c\\r]+", t.lower()) if x]
+    pairs = [(a, b) for a, b in zip(w, w[1:])] if len(w) > 1 else [(x, None) for x in w]
+    first = lambda x, seed: xxhash.xxh64_intdigest(x.encode(), seed)
+    hashes = [first(a, 42) if b is None else first(b, first(a, 42)) for a, b in pairs]
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+
+
+def bits_apart(p, q):
+    return (int(p, 16) ^ int(q, 16)).bit_count()
+
+
+def check_fingerprints(spark, docs, **how):
+    """Every column of every row that has an id of its own, against brute force."""
+    found = fingerprint_documents(docs, **how).collect()
     assert len(found) == docs.count()
     rows = sorted(texts(docs), key=lambda r: (r[0] is not None, r[0] or 0))
     single = {i for i, n in Counter(i for i, _ in rows).items() if n == 1 and i is not None}
     by_id = {r["doc_id"]: r for r in found}
+    every = {r["fingerprint"] for r in found}
     for at, (i, t) in enumerate(rows):
         nxt = rows[(at + 1) % len(rows)]
-        if i in single and nxt[0] in single:
-            half = len(t) // 2
-            r = by_id[i]
-            assert r["n_chars"] == len(t) and r["edited_sha256"] == sha(t[: len(t) - half] + nxt[1][:half])
-            like = lambda p, q: 1 - (int(p, 16) ^ int(q, 16)).bit_count() / 64
-            assert r["near_edited"] == like(r["fingerprint"], r["edited_fingerprint"]) and r["near_next"] == like(r["fingerprint"], by_id[nxt[0]]["fingerprint"])
+        if i not in single or nxt[0] not in single:
+            continue
+        half, r = len(t) // 2, by_id[i]
+        edited = t[: len(t) - half] + nxt[1][:half]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), sha(edited))
+        if t.isascii() and edited.isascii():
+            assert (int(r["fingerprint"], 16), int(r["edited_fingerprint"], 16)) == (simhash(t), simhash(edited))
+        like = lambda p, q: 1 - bits_apart(p, q) / 64
+        assert r["near_edited"] == like(r["fingerprint"], r["edited_fingerprint"]) and r["near_next"] == like(r["fingerprint"], by_id[nxt[0]]["fingerprint"])
+        asks = str(i).lstrip("-").isdigit() and int(i) % 50 == 0
+        assert r["neighbours"] == (sum(0 < bits_apart(x, r["fingerprint"]) <= 3 for x in every) if asks else None)
+    return found
+
+
+def test_fingerprints(spark):
+    docs = awkward(spark)
+    found = check_fingerprints(spark, docs)
     assert len({r["fingerprint"] for r in found if r["doc_id"] in (5, 6)}) == 1
+    check_fingerprints(spark, docs, bucket_bytes=3000)
     assert fingerprint_documents(nothing(spark)).count() == 0
     assert fingerprint_documents(docs.filter("doc_id = 4")).first()["near_next"] == 1.0
 
 
-def test_next_crosses_buckets(spark):
+def test_ids_of_any_spread_and_type(spark):
+    random.seed(8)
+    prose = [" ".join(random.choice(["the", "a", "word", "of", "many", "kinds"]) for _ in range(random.randint(0, 60))) for _ in range(400)]
+    ids = [-(2**63), -(2**63) + 1, 0, 2**63 - 1, *range(50, 250), *(2**62 + i for i in range(100)), *(-(10**18) * 9 + 7 * i for i in range(96))]
+    longs = spark.createDataFrame(list(zip(ids, prose)), "doc_id long, text string").repartition(5)
+    check_fingerprints(spark, longs, bucket_bytes=500)
+    strings = spark.createDataFrame([(f"id-{i:04}" if i % 3 else str(i), t) for i, t in zip(range(400), prose)], "doc_id string, text string")
+    check_fingerprints(spark, strings, bucket_bytes=500)
+    nulls = longs.limit(40).select(F.lit(None).cast("long").alias("doc_id"), "text")
+    assert fingerprint_documents(nulls, bucket_bytes=100).count() == 40
+
+
+def test_buckets_are_bounded_by_bytes_and_cross(spark):
     docs = spark.range(9000).select((F.col("id") * 3).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
-    assert docs.select(ordered_buckets(docs, "doc_id")).distinct().count() > 3
-    found = {r["doc_id"]: r["edited_sha256"] for r in fingerprint_documents(docs).collect()}
+    # A third of the rows under one id, and ids crowded in a small part of their span.
+    crowded = docs.unionByName(spark.range(4500).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("x"), "id").alias("text"))).unionByName(spark.createDataFrame([(2**62, "far")], docs.schema))
+    body = crowded.withColumn("th", F.xxhash64("text"))
+    sizes = [r[0] for r in body.groupBy(ordered_buckets(body, 1000)).agg(F.sum(F.length("text"))).select("sum(length(text))").collect()]
+    assert len(sizes) > 25 and max(sizes) < 6000
+    found = {r["doc_id"]: r["edited_sha256"] for r in fingerprint_documents(docs, bucket_bytes=2000).collect()}
     for i in (0, 2047, 2048, 5000, 8999):
         t, n = f"t{i}", f"t{(i + 1) % 9000}"
         assert found[i * 3] == sha(t[: len(t) - len(t) // 2] + n[: len(t) // 2])
@@ -90,7 +151,9 @@ def test_neighbours_equal_brute_force(spark):
     near = [int(np.int64(b) ^ np.int64(sum(1 << int(k) for k in rng.choice(63, n, False)))) for b in base for n in (1, 3, 4)]
     values = sorted({*map(int, base), *near})
     fps = spark.createDataFrame([(v,) for v in values], "fp long")
-    got = {(r["query"], r["fp"], r["distance"]) for r in neighbours(fps, fps).collect()}
+    rows = [(r["query"], r["fp"], r["distance"]) for r in neighbours(fps, fps).collect()]
+    got = set(rows)
+    assert len(rows) == len(got)
     dist = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
     assert got == {(a, b, dist(a, b)) for a in values for b in values if dist(a, b) <= 3}
     assert block_tables(fps).select("table").distinct().count() == 20
