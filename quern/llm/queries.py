@@ -48,22 +48,42 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_lines(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-OP1_SQL = """WITH tagged AS (
-  SELECT *, to_json(text)::VARCHAR AS quoted,
-         CASE role WHEN 'user' THEN conv_id || '-' || turn WHEN 'assistant' THEN conv_id || '-' || (turn - 1) END AS call_id
+OP1_SQL = """WITH RECURSIVE tagged AS (
+  SELECT *, to_json(text)::VARCHAR AS quoted, conv_id + turn AS k,
+         CASE role WHEN 'user' THEN conv_id || '-' || turn || '-reply' WHEN 'assistant' THEN conv_id || '-' || (turn - 1) || '-reply' END AS call_id
   FROM conversations),
+calls AS (
+  SELECT conv_id, turn, t.tool, t.pos, conv_id || '-' || turn || '-' || t.tool AS id,
+         CASE t.tool WHEN 'reply' THEN '{' || CASE WHEN k % 7 = 3 THEN '"draft":true,' ELSE '' END || '"prompt":' || quoted || ',"turn":' || turn || '}'
+                     WHEN 'count' THEN '{' || CASE WHEN k % 5 <> 0 THEN '"chars":' || length(text) || ',' ELSE '' END || '"text":' || quoted || '}'
+                     ELSE '{"text":' || quoted || '}' END AS arguments,
+         text IS NOT NULL AND CASE t.tool WHEN 'reply' THEN k % 7 <> 3 WHEN 'count' THEN k % 5 <> 0 ELSE true END AS valid
+  FROM tagged, (VALUES ('reply', 0), ('count', 1), ('split', 2)) AS t(tool, pos) WHERE role = 'user'),
+edges AS (
+  SELECT conv_id, turn, 'reply' AS child, 'count' AS parent FROM tagged WHERE role = 'user' UNION ALL
+  SELECT conv_id, turn, 'count', 'split' FROM tagged WHERE role = 'user' UNION ALL
+  SELECT conv_id, turn, 'count', 'reply' FROM tagged WHERE role = 'user' AND k % 11 = 4),
+walk AS (
+  SELECT conv_id, turn, 'split' AS tool, 0 AS depth FROM tagged WHERE role = 'user' UNION
+  SELECT w.conv_id, w.turn, e.child, w.depth + 1 FROM walk w JOIN edges e ON w.conv_id = e.conv_id AND w.turn = e.turn AND w.tool = e.parent WHERE w.depth < 6),
+levels AS (SELECT conv_id, turn, tool, CASE WHEN max(depth) < 3 THEN max(depth) END AS level FROM walk GROUP BY ALL),
+made AS (
+  SELECT c.conv_id, c.turn, bool_and(valid) AS valid, CASE WHEN count(level) = 3 THEN max(level) END AS level,
+         '[' || string_agg('{"arguments":' || arguments || ',"id":"' || id || '","name":"' || c.tool || '"}', ',' ORDER BY level NULLS LAST, pos) || ']' AS list
+  FROM calls c JOIN levels l ON c.conv_id = l.conv_id AND c.turn = l.turn AND c.tool = l.tool GROUP BY ALL),
 asked AS (SELECT DISTINCT call_id FROM tagged WHERE role = 'user'),
 answered AS (SELECT call_id, min(turn) AS turn FROM tagged WHERE role = 'assistant' GROUP BY call_id),
 met AS (
   SELECT t.*, CASE role WHEN 'user' THEN r.call_id IS NOT NULL
-                        WHEN 'assistant' THEN a.call_id IS NOT NULL AND t.turn = r.turn ELSE false END AS linked
-  FROM tagged t LEFT JOIN asked a ON t.call_id = a.call_id LEFT JOIN answered r ON t.call_id = r.call_id)
-SELECT conv_id, turn, role, call_id, linked, CASE WHEN role = 'user' THEN text IS NOT NULL END AS valid,
-       CASE WHEN role = 'user' THEN 0 END AS level,
-       '{' || CASE WHEN role = 'user' THEN '"call":{"arguments":{"prompt":' || quoted || ',"turn":' || turn || '},"id":"' || call_id || '","name":"reply"},' ELSE '' END
+                        WHEN 'assistant' THEN a.call_id IS NOT NULL AND t.turn = r.turn ELSE false END AS linked,
+         CASE WHEN role = 'user' THEN t.turn > 0 AND b.call_id IS NULL END AS unmet
+  FROM tagged t LEFT JOIN asked a ON t.call_id = a.call_id LEFT JOIN answered r ON t.call_id = r.call_id
+       LEFT JOIN asked b ON b.call_id = t.conv_id || '-' || (t.turn - 2) || '-reply')
+SELECT m.conv_id, m.turn, role, call_id, linked, valid, unmet, level,
+       '{' || CASE WHEN role = 'user' THEN '"calls":' || list || ',' ELSE '' END
            || '"content":' || quoted || CASE WHEN role = 'assistant' AND linked THEN ',"result_of":"' || call_id || '"' ELSE '' END
-           || ',"role":"' || role || '","turn":' || turn || '}' AS line
-FROM met"""
+           || ',"role":"' || role || '","turn":' || m.turn || '}' AS line
+FROM met m LEFT JOIN made d ON m.conv_id = d.conv_id AND m.turn = d.turn AND m.role = 'user'"""
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

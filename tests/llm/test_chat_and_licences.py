@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 from quern.llm.license_scan import Model, SEPARATORS, TEMPLATES, inherited, scan, scan_documents
-from quern.llm.tool_calls import answers, chat_lines, levels, link
+from quern.llm.tool_calls import answers, canonical, chat_lines, levels, link
 from tests.llm.helpers import awkward, nothing
 
 CALLS = "conv_id long, turn long, pos int, call_id string, name string, arguments string, depends_on array<string>, extra string"
@@ -41,18 +41,43 @@ def test_links_validates_and_orders(spark):
 
 
 def test_chat_lines(spark):
-    rows = [(1, 0, "system", "s"), (1, 1, "user", 'q "1"\n'), (1, 2, "assistant", "a"), (1, 3, "user", None), (1, 5, "assistant", "late"), (2, 0, None, "x"), (None, 0, "user", "n"), (3, 1, "user", "twice"), (3, 1, "user", "twice"), (3, 2, "assistant", "r")]
+    rows = [(1, 0, "system", "s"), (1, 2, "user", 'q "1"\n'), (1, 3, "assistant", "a"), (1, 4, "user", None), (1, 7, "assistant", "late"), (2, 0, None, "x"), (None, 0, "user", "n"), (3, 1, "user", "twice"), (3, 1, "user", "twice"), (3, 2, "assistant", "r"), (4, 0, "user", "round")]
     table = spark.createDataFrame([(*r, "c", True) for r in rows], "conv_id long, turn long, role string, text string, call_id string, linked boolean")
     found = chat_lines(table).collect()
     assert len(found) == len(rows)
     by = {(r["conv_id"], r["turn"]): r for r in found}
-    assert by[1, 1]["line"] == '{"call":{"arguments":{"prompt":"q \\"1\\"\\n","turn":1},"id":"1-1","name":"reply"},"content":"q \\"1\\"\\n","role":"user","turn":1}'
-    assert by[1, 2]["linked"] and by[1, 1]["linked"] and not by[1, 3]["linked"] and by[1, 3]["valid"] is False and not by[1, 5]["linked"]
-    assert by[2, 0]["line"] == '{"content":"x","turn":0}' and by[None, 0]["call_id"] is None
-    assert sum(r["conv_id"] == 3 and r["linked"] for r in found) == 3
+    q = '"q \\"1\\"\\n"'
+    assert by[1, 2]["line"] == f'{{"calls":[{{"arguments":{{"text":{q}}},"id":"1-2-split","name":"split"}},{{"arguments":{{"chars":6,"text":{q}}},"id":"1-2-count","name":"count"}},{{"arguments":{{"draft":true,"prompt":{q},"turn":2}},"id":"1-2-reply","name":"reply"}}],"content":{q},"role":"user","turn":2}}'
+    assert (by[1, 2]["valid"], by[1, 2]["unmet"], by[1, 2]["level"], by[1, 4]["unmet"]) == (False, True, 2, False)
+    assert by[1, 3]["linked"] and by[1, 2]["linked"] and not by[1, 4]["linked"] and by[1, 4]["valid"] is False and not by[1, 7]["linked"]
+    assert by[2, 0]["line"] == '{"content":"x","turn":0}' and by[None, 0]["call_id"] is None and by[None, 0]["line"].count('"id"') == 0
+    assert sum(r["conv_id"] == 3 and r["linked"] for r in found) == 3 and by[3, 1]["valid"]
+    assert by[4, 0]["level"] is None and [c["name"] for c in json.loads(by[4, 0]["line"])["calls"]] == ["split", "reply", "count"]
     assert chat_lines(table.filter("turn > 9")).count() == 0
 
 
+def test_chat_lines_equal_sql(spark, small):
+    from quern.llm.queries import oracle_sql, queries
+    from tests.oracle import connect, same
+
+    df = queries()["op1_chat_formatting"](spark, small)
+    same(df, connect(small), oracle_sql()["op1_chat_formatting"])
+    # The query meets every case: orders, cycles, missing parents, broken arguments.
+    seen = df.groupBy("level", "valid", "unmet").count().filter("valid IS NOT NULL").collect()
+    assert {r["level"] for r in seen} == {2, None} and {r["valid"] for r in seen} == {True, False} and {r["unmet"] for r in seen} == {False, True}
+
+
+def test_long_texts_and_odd_numbers(spark):
+    from pyspark.sql import functions as F
+
+    long = spark.createDataFrame([(1, 1, "user")], "conv_id long, turn long, role string").withColumn("text", F.repeat(F.lit("x"), 21_000_000))
+    row = chat_lines(long).select("valid", F.length("line").alias("n")).first()
+    assert row["valid"] and row["n"] > 4 * 21_000_000
+    args = ["{\"a\":1e400}", '{"a":"Infinity"}', '{"b":1,"a":[1.50,null]}', '{"\U0001f600":1,"\ufb01":2}', "nope"]
+    got = [r[0] for r in spark.createDataFrame([(i, a) for i, a in enumerate(args)], "i int, a string").orderBy("i").select(canonical(F.col("a"))).collect()]
+    assert got[0] is None and got[1] == '{"a":"Infinity"}' and got[4] is None and got[2].startswith('{"a":[1.5') and list(json.loads(got[3])) == ["\U0001f600", "\ufb01"]
+
+
 def test_scan_equals_brute_force(spark):
     texts = [
         ("/a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("/a/x.py", "code\nmore code. And words of prose"), ("/a/b/y.py", "Released under the MIT License. " + "more words " * 80), ("/a/b/c/z.py", None),
