@@ -3,12 +3,12 @@
 Headers are a text's sentences and its runs of commented lines, a licence file
 is a whole text. All are compared with templates (statements and SPDX tags,
 standard headers, and whole licence texts, which are the files of `licences/`)
-by the cosine of their TF-IDF vectors. Inverse document frequencies of the
-templates' terms count all documents; any other term weighs as one that no
-document holds. Only texts and sentences with an anchor can reach the
-threshold: the heaviest terms of each template, such that the others' share of
-its norm is under the threshold (by the Cauchy-Schwarz inequality nothing is
-lost).
+by the cosine of their TF-IDF vectors, with 1 + ln(n) for n occurrences.
+Inverse document frequencies of the templates' terms count all documents; any
+other term weighs as one that no document holds. Only texts and sentences with
+an anchor can reach the threshold: the rarest terms of each template, such that
+the others' share of its norm is under the threshold (by the Cauchy-Schwarz
+inequality nothing is lost).
 
 A licence file covers its directory. A text without a header of its own takes
 the licence of the nearest ancestor directory that has one; that is resolved
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -101,16 +102,17 @@ def all_templates() -> list[tuple[str, str]]:
 HEADER, FILE = 0.75, 0.5
 
 
-SEPARATORS = r"(?:[^a-z0-9.-]|[.-](?![a-z0-9]))+"
+#: Runs of a-z, 0-9, and of single dots and hyphens that a-z or 0-9 follow; bounded, so that no text exhausts the stack.
+TOKEN = r"[.-]?[a-z0-9]++(?:[.-][a-z0-9]++){0,200}"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of a-z, 0-9, and of dots and hyphens that a-z or 0-9 follow; may hold ''."""
-    return F.split(F.lower(text), SEPARATORS)
+    """The lower-cased tokens of a text, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def _tokens(text: str) -> list[str]:
-    return [t for t in re.split(SEPARATORS, text.lower()) if t]
+    return re.findall(TOKEN, text.lower())
 
 
 #: A line that a comment mark begins, and two or more such lines in a row.
@@ -134,7 +136,7 @@ class Model:
         self.vectors: list[dict[str, float]] = []
         for number, (_, text) in enumerate(templates):
             terms = _tokens(text)
-            weights = {t: terms.count(t) * self.idf[t] for t in terms}
+            weights = {t: (1 + math.log(n)) * self.idf[t] for t, n in Counter(terms).items()}
             norm = math.sqrt(sum(w * w for w in weights.values()))
             self.vectors.append({t: w / norm for t, w in weights.items()})
             self.postings += [(t, number, w / norm) for t, w in sorted(weights.items())]
@@ -143,7 +145,7 @@ class Model:
         found = set()
         for vector in self.vectors:
             rest = 1.0
-            for term, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+            for term, w in sorted(vector.items(), key=lambda x: (-self.idf[x[0]], -x[1], x[0])):
                 if math.sqrt(max(0.0, rest)) < threshold:
                     break
                 found.add(term)
@@ -151,16 +153,16 @@ class Model:
         return sorted(found)
 
 
-def _among(terms: Column, known: list[str]) -> Column:
-    """The distinct terms that are known; the known ones are hashed once a query, not once a row."""
-    return F.array_distinct(F.filter(terms, lambda t: t.isin(known)))
+def _terms(near: DataFrame, terms: list[str]) -> DataFrame:
+    """Terms of the templates as a table for a broadcast, whatever the input: a hash lookup inside generated code."""
+    return F.broadcast(near.sparkSession.createDataFrame([(t,) for t in terms], "t string"))
 
 
 def fit(texts: DataFrame, templates: list[tuple[str, str]]) -> Model:
     """Document frequencies of the templates' terms over all texts; the driver gets one number a term."""
     vocabulary = sorted({t for _, text in templates for t in _tokens(text)})
-    held = _among(tokens(F.coalesce("text", F.lit(""))), vocabulary)
-    counts = texts.select(F.explode(held).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()
+    held = texts.select(F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("t"))
+    counts = held.join(_terms(texts, vocabulary), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()
     return Model(texts.count(), {r["t"]: r["n"] for r in counts}, templates)
 
 
@@ -170,9 +172,9 @@ def matches(units: DataFrame, keys: list[str], model: Model, threshold: float) -
     # Both tables hold the templates' terms only, whatever the input.
     idf = F.broadcast(spark.createDataFrame(sorted(model.idf.items()), "t string, idf double"))
     postings = F.broadcast(spark.createDataFrame(model.postings, "t string, template int, w double"))
-    split = units.select(*keys, tokens(F.col("unit")).alias("terms")).filter(F.exists("terms", lambda t: t.isin(model.anchors(threshold))))
-    terms = split.select(*keys, F.explode("terms").alias("t")).filter("t <> ''").groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = terms.join(idf, "t", "left").select(*keys, "t", (F.col("tf") * F.coalesce("idf", F.lit(model.default))).alias("u"))
+    split = units.select(*keys, tokens(F.col("unit")).alias("terms")).filter(F.arrays_overlap("terms", F.lit(model.anchors(threshold))))
+    terms = split.select(*keys, F.explode("terms").alias("t")).groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("tf"))
+    weighed = terms.join(idf, "t", "left").select(*keys, "t", ((1 + F.ln("tf")) * F.coalesce("idf", F.lit(model.default))).alias("u"))
     norms = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("norm"))
     dots = weighed.join(postings, "t").groupBy(*keys, "template").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("norm"), 9)
@@ -208,7 +210,8 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, heade
     keys = ["k1", "k2"]
     # Anchors of the lower threshold hold those of the higher: one pass finds the texts that either could match.
     anchors = model.anchors(min(header, whole))
-    likely, _ = materialize(rows.select(*keys, "text").filter(F.exists(tokens(F.col("text")), lambda t: t.isin(anchors))), "licence-texts")
+    met = rows.select(*keys, "text", F.explode(tokens(F.col("text"))).alias("t")).join(_terms(files, anchors), "t", "left_semi")
+    likely, _ = materialize(met.groupBy(*keys).agg(F.first("text").alias("text")), "licence-texts")
     cuts = likely.select(*keys, F.posexplode(sentences(F.col("text"))).alias("pos", "unit"))
     headers = _best(matches(cuts, [*keys, "pos"], model, header), keys, model.names, "header")
     wholes = _best(matches(likely.select(*keys, F.col("text").alias("unit")), keys, model, whole), keys, model.names, "file")

@@ -96,7 +96,7 @@ def test_scan_equals_brute_force(spark):
     idf = lambda x: math.log((1 + len(texts)) / (1 + df[x])) + 1
 
     def vector(t):
-        u = {x: n * idf(x) for x, n in Counter(split(t)).items()}
+        u = {x: (1 + math.log(n)) * idf(x) for x, n in Counter(split(t)).items()}
         norm = math.sqrt(sum(w * w for w in u.values()))
         return {x: w / norm for x, w in u.items()} if u else {}
 
