@@ -5,13 +5,14 @@ uniqueness is verified against all chunk contents, and two texts are equal
 exactly if their ordered identifier lists are. Only the distinct chunks cross
 the network once, for the verification; long documents themselves never move.
 
-Boundaries: a text is split into tokens (up to and with the next white space or
-punctuation, 64 characters at most), and a rolling hash of the last WINDOW
-tokens ends a chunk where EVERY divides it. So a boundary depends on the few
+Boundaries: a text is split into tokens (up to and with the next white space and
+punctuation, 64 characters of a kind at most), and a rolling hash of the last
+WINDOW tokens ends a chunk where EVERY divides it and FIRST the code of the
+last token's first character. So a boundary depends on the few
 characters before it alone: wherever two texts hold the same passage, their
 cuts fall into step within a chunk, whatever stands before. A stretch of over
-LONG tokens without a boundary (periodic text, most of all) is cut wherever its
-least hash occurs.
+LONG tokens without a boundary (periodic text, most of all) is cut at every hash
+that is the least of the NEAR before and after it.
 
 Defined results: null text counts as empty (an empty recipe). Rows that repeat
 a doc_id with the same text share one decision. A group whose doc_ids are all
@@ -27,10 +28,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.llm.common import join_groups, materialize
 
-#: Tokens that the rolling hash sees; one in EVERY places is a boundary; tokens from which a stretch without one is cut otherwise.
-WINDOW, EVERY, LONG = 2, 256, 1024
+#: Tokens that the rolling hash sees; divisors of it and of the last token's first character (looked at first, as that costs less);
+#: tokens from which a stretch without a boundary is cut otherwise, and how far its hashes are compared.
+WINDOW, EVERY, FIRST, LONG, NEAR = 2, 64, 4, 1024, 8
 #: White space or punctuation ends a token.
-TOKEN = r"[^\s\p{P}]{0,63}+[\s\p{P}]|[^\s\p{P}]{1,64}"
+TOKEN = r"[^\s\p{P}]{0,63}+[\s\p{P}]{1,64}+|[^\s\p{P}]{1,64}+"
 #: Identifiers that more than one content share and that the driver holds; some 70 are expected among 5 * 10**10 chunks.
 MAX_WIDE = 100_000
 
@@ -48,11 +50,14 @@ def chunks(text: Column, every: int = EVERY, long: int = LONG) -> Column:
         n = F.size(tokens)
         hashed = lambda i: F.xxhash64(*[F.get(tokens, i - b) for b in range(WINDOW, 0, -1)])
         places = lambda a, b: F.when(b - a > 1, F.sequence(a + 1, b - 1)).otherwise(none)
-        marks = F.filter(places(F.lit(0), n), lambda i: F.pmod(hashed(i), F.lit(every)) == 0)
+        marks = F.filter(places(F.lit(0), n), lambda i: (F.ascii(F.get(tokens, i - 1)) % FIRST == 0) & (F.pmod(hashed(i), F.lit(every)) == 0))
 
         def least(s: Column) -> Column:
-            inside = places(s["a"], s["b"])
-            return _let(F.array_min(F.transform(inside, hashed)), lambda m: F.filter(inside, lambda i: hashed(i) == m))
+            def found(h: Column) -> Column:
+                near = lambda i: F.slice(h, F.greatest(i - NEAR, F.lit(1)), F.lit(2 * NEAR + 1))
+                return F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: F.get(h, i - 1) == F.array_min(near(i)))
+
+            return F.transform(_let(F.transform(places(s["a"], s["b"]), hashed), found), lambda i: s["a"] + i)
 
         def refined(cuts: Column) -> Column:
             stretches = F.filter(_spans(cuts, n), lambda s: s["b"] - s["a"] > long)

@@ -58,8 +58,8 @@ def test_chunks_are_whole_and_fall_into_step(spark):
     for body in (numbered, prose, same):
         a, b, c = cut(spark, body, "17 characters in " + body, body[: len(body) // 2] + "changed" + body[len(body) // 2 :])
         assert "".join(a) == body and "".join(b) == "17 characters in " + body and len(a) > 4
-        # All but the chunks around the change are shared.
-        assert len([x for x in a if x not in set(b)]) <= 1 and len([x for x in a if x not in set(c)]) <= 2
+        # All but the chunks around the change are shared; a stretch without boundaries has short ones.
+        assert len([x for x in a if x not in set(b)]) <= 1 and len([x for x in a if x not in set(c)]) <= 3
     whole = ["", None, "z" * 100_000, "日本語、" * 9000, " " * 5000, ".", "a\nb", "x" * 64, "x" * 65 + " "]
     assert ["".join(c) for c in cut(spark, *whole)] == [t or "" for t in whole]
 
