@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F, types as T
 
 from quern.functions import udfs as U
-from quern.operators import dml
+from quern.operators import ddl, dml
 from quern.plans.registry import frame_query, sql_query
 from quern.session import register, table
 from quern.sources import catalog as C
@@ -104,7 +104,47 @@ def _query_table(s, d):
 
 
 frame_query("table_query_table", _query_table, "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")
-sql_query("view_and_explain", "orders", "SELECT o_orderstatus, count(*) AS n FROM (SELECT * FROM orders WHERE o_totalprice > 1000) AS v GROUP BY o_orderstatus")
+
+
+def _view_and_explain(s, d):
+    view = ddl.create_view(table(s, d, "orders").filter("o_totalprice > 1000"), "dear_orders")
+    text = ddl.explain(s, f"SELECT o_orderkey FROM {view} WHERE o_custkey = 7")
+    return s.sql(f"SELECT o_orderstatus, count(*) AS n FROM {view} GROUP BY o_orderstatus").withColumn("pushed", F.lit("EqualTo(o_custkey,7)" in text and "GreaterThan(o_totalprice,1000.0)" in text))
+
+
+frame_query("view_and_explain", _view_and_explain, "SELECT o_orderstatus, count(*) AS n, true AS pushed FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus")
+
+
+def _ddl_table(s, d):
+    schema = ddl.create_schema(s)
+    name = ddl.create_table(table(s, d, "nation"), f"{schema}.nations")
+    ddl.add_column(s, name, "note", "string")
+    s.sql(f"INSERT INTO {name} VALUES (99, 'new', 1, 'added')")
+    ddl.rename_table(s, name, f"{schema}.countries")
+    gone = ddl.create_table(s.range(3), f"{schema}.gone")
+    ddl.drop(s, "TABLE", gone)
+    return s.table(f"{schema}.countries").withColumn("left_over", F.lit(s.catalog.tableExists(gone) or s.catalog.tableExists(name)))
+
+
+frame_query("ddl_table", _ddl_table, f"SELECT *, NULL::VARCHAR AS note, false AS left_over {_N} UNION ALL SELECT 99, 'new', 1, 'added', false")
+
+
+def _ddl_alter(s, d):
+    name = ddl.create_table(table(s, d, "supplier"), f"{ddl.create_schema(s)}.suppliers")
+    return s.table(ddl.rewrite(s, name, ("s_name",), {"s_acctbal": "balance"}, {"s_suppkey": "string"}))
+
+
+frame_query("ddl_alter", _ddl_alter, "SELECT s_suppkey::VARCHAR AS s_suppkey, s_nationkey, s_acctbal AS balance FROM supplier")
+
+
+def _reset(s, d):
+    s.conf.set("spark.sql.quern.example", "1")
+    before = s.conf.get("spark.sql.quern.example")
+    ddl.reset(s, "spark.sql.quern.example")
+    return s.createDataFrame([("set", before), ("reset", s.conf.get("spark.sql.quern.example", None))], "step string, value string")
+
+
+frame_query("session_reset", _reset, "SELECT 'set' AS step, '1' AS value UNION ALL SELECT 'reset', NULL")
 sql_query("order_by_all", "nation", "SELECT n_regionkey, n_name FROM nation ORDER BY ALL LIMIT 7")
 sql_query("collation_nocase", "part", "SELECT p_partkey FROM part WHERE p_name COLLATE UTF8_LCASE = 'RED WIDGET'", "SELECT p_partkey FROM part WHERE p_name COLLATE NOCASE = 'RED WIDGET'")
 sql_query("between_in", "part", "SELECT p_partkey FROM part WHERE p_size NOT BETWEEN 5 AND 45 AND p_brand IN ('Brand#1', 'Brand#2') AND p_type NOT IN ('ECONOMY')")

@@ -155,3 +155,30 @@ sql_query(
 WHERE c_nationkey IN (1, 3, 5, 7, 9) AND c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0.00 AND c_nationkey IN (1, 3, 5, 7, 9))
   AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY c_nationkey""",
 )
+
+# The part-supplier table is missing: its pairs are those that were sold, with the least price paid as the cost and all that was sold as the stock.
+_PS = "ps AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice) AS ps_supplycost, sum(l_quantity) AS ps_availqty FROM lineitem GROUP BY l_partkey, l_suppkey)"
+sql_query(
+    "tpch_q2",
+    "lineitem part supplier nation region",
+    f"""WITH {_PS}, near AS (SELECT ps_partkey, ps_supplycost, s_acctbal, s_name, s_suppkey, n_name FROM ps, supplier, nation, region
+  WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE')
+SELECT s_acctbal, s_name, n_name, p_partkey, p_brand FROM part, near
+WHERE p_partkey = ps_partkey AND p_size < 25 AND ps_supplycost = (SELECT min(n2.ps_supplycost) FROM near n2 WHERE n2.ps_partkey = p_partkey)
+ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
+)
+_VALUE = "CAST(round(sum(ps_supplycost * ps_availqty), 2) AS DOUBLE)"
+sql_query(
+    "tpch_q11",
+    "lineitem supplier",
+    f"""WITH {_PS}, here AS (SELECT ps_partkey, ps_supplycost, ps_availqty FROM ps, supplier WHERE ps_suppkey = s_suppkey AND s_nationkey = 7)
+SELECT ps_partkey, {_VALUE} AS value FROM here GROUP BY ps_partkey
+HAVING sum(ps_supplycost * ps_availqty) > (SELECT sum(ps_supplycost * ps_availqty) * 0.001 FROM here)""",
+)
+sql_query(
+    "tpch_q16",
+    "lineitem part supplier",
+    f"""WITH {_PS} SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS supplier_cnt FROM ps, part
+WHERE p_partkey = ps_partkey AND p_brand <> 'Brand#1' AND p_type NOT LIKE 'ECON%' AND p_size IN (3, 9, 14, 19, 23, 36, 45, 49)
+  AND ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size""",
+)
