@@ -1,9 +1,10 @@
 """Exact dedup by content-defined chunk recipes (DataFrame functions only).
 
 A text is cut where its content says so, each chunk gets an identifier whose
-uniqueness is verified against all chunk contents, and two texts are equal
-exactly if their ordered identifier lists are. Only the distinct chunks cross
-the network once, for the verification; long documents themselves never move.
+uniqueness is verified against the SHA-256 digests of all chunks, and two texts
+are equal exactly if their ordered identifier lists are. Only distinct pairs of
+identifier and digest cross the network, for the verification; neither long
+documents nor their chunks ever move.
 
 Boundaries: a text is split into tokens (up to and with the next white space and
 punctuation, 64 characters of a kind at most), and a rolling hash of the last
@@ -22,8 +23,6 @@ columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.llm.common import join_groups, materialize
@@ -81,35 +80,32 @@ def _narrow(chunk: Column) -> Column:
     return F.xxhash64(chunk)
 
 
-def _wide(chunk: Column) -> Column:
-    return F.sha2(chunk, 256)
-
-
-def collisions(pieces: DataFrame, key: Sequence[str] = ("id",)) -> DataFrame:
-    """Identifiers that stand for more than one content. pieces: the key columns and chunk."""
-    distinct = pieces.groupBy(*key, "chunk").agg(F.lit(1).alias("one"))
-    return distinct.groupBy(*key).agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1")
+def collisions(pieces: DataFrame) -> DataFrame:
+    """Identifiers that stand for more than one content. pieces: id and wide, the content's SHA-256."""
+    distinct = pieces.groupBy("id", "wide").agg(F.lit(1).alias("one"))
+    return distinct.groupBy("id").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1")
 
 
 def recipes(docs: DataFrame, text: str = "text", identify=_narrow) -> DataFrame:
-    """Adds `recipe`, the ordered list of verified chunk identifiers.
+    """docs with `recipe`, the ordered list of verified chunk identifiers, in place of the text.
 
-    64-bit identifiers are verified by an action while the plan is built. Where
-    one stands for several contents, identifiers are pairs (id, wide): 256 bits
-    more for such chunks, which are verified in turn, and null for the others.
+    Chunks are cut once, into a written table of their 64-bit identifiers and
+    SHA-256 digests. An identifier is verified if all its chunks have one
+    digest; that takes an action while the plan is built. Where some are not,
+    identifiers are pairs (id, wide): the digest too for such chunks, and null
+    for the others.
     """
-    body = chunks(F.coalesce(F.col(text), F.lit("")))
-    pieces = docs.select(F.explode(body).alias("chunk")).select(identify(F.col("chunk")).alias("id"), "chunk")
+    cut = F.transform(chunks(F.coalesce(F.col(text), F.lit(""))), lambda c: F.struct(identify(c).alias("id"), F.sha2(c, 256).alias("wide")))
+    listed, _ = materialize(docs.withColumn("_pieces", cut).drop(text), "recipes")
+    pieces = listed.select(F.explode("_pieces").alias("p")).select("p.id", "p.wide")
     shared = [r["id"] for r in collisions(pieces).select("id").limit(MAX_WIDE + 1).collect()]
     if len(shared) > MAX_WIDE:
         raise RuntimeError("too many chunk contents share a 64-bit identifier")
-    if not shared:
-        return docs.withColumn("recipe", F.transform(body, identify))
-    known = F.lit(sorted(shared))
-    again = pieces.filter(F.col("id").isin(shared)).select("id", _wide(F.col("chunk")).alias("wide"), "chunk")
-    if not collisions(again, ("id", "wide")).isEmpty():
-        raise RuntimeError("two chunk contents share a SHA-256 identifier")
-    return docs.withColumn("recipe", F.transform(body, lambda c: F.struct(identify(c).alias("id"), F.when(F.array_contains(known, identify(c)), _wide(c)).alias("wide"))))
+    recipe = lambda p: p["id"]
+    if shared:
+        known = F.lit(sorted(shared))
+        recipe = lambda p: F.struct(p["id"].alias("id"), F.when(F.array_contains(known, p["id"]), p["wide"]).alias("wide"))
+    return listed.withColumn("recipe", F.transform("_pieces", recipe)).drop("_pieces")
 
 
 def exact_dedup(docs: DataFrame, identify=_narrow) -> DataFrame:
@@ -119,8 +115,7 @@ def exact_dedup(docs: DataFrame, identify=_narrow) -> DataFrame:
     distinct recipe, summed map-side; the rows of hot groups do not move to it.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
-    # A written table, as both the groups and their rows read the recipes.
-    rows, _ = materialize(recipes(docs.select("doc_id", "text"), identify=identify).select("doc_id", "recipe", F.sha2(body, 256).alias("text_sha256")), "recipes")
+    rows = recipes(docs.select("doc_id", F.sha2(body, 256).alias("text_sha256"), "text"), identify=identify)
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return join_groups(rows, groups, "recipe", "group_size", rows.count()).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"

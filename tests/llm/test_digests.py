@@ -65,7 +65,7 @@ def test_chunks_are_whole_and_fall_into_step(spark):
 
 
 def test_colliding_identifiers_are_seen_and_widened(spark):
-    pieces = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, "c")], "id long, chunk string")
+    pieces = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, "c")], "id long, wide string")
     assert [r["id"] for r in collisions(pieces).collect()] == [2]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["aa", "bb", "aa", "ca", "d"])], "doc_id long, text string")
     by_last = lambda c: F.ascii(F.right(c, F.lit(1))).cast("long")
