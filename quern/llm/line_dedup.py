@@ -1,9 +1,13 @@
 """Line dedup by distinct-site spread (DataFrame functions only).
 
 Each line has a HyperLogLog sketch of the sites it occurs on; sketches merge
-map-side and in one shuffle of fixed-size rows. Lines whose estimate is near
-the threshold get an exact distinct count, the others keep the sketch's
-verdict. A line on `min_sites` sites or more is boilerplate and goes, but for
+map-side and in one shuffle of fixed-size rows, together with the number of the
+line's occurrences. A line with fewer occurrences than `min_sites` cannot be
+boilerplate; of the others, those whose estimate is well above the threshold
+keep the sketch's verdict, and all the rest get an exact distinct count. So a
+low estimate loses no line. Below 80 registers in use the sketch counts the
+registers hit, which never exceed the sites: with the values below, no line on
+fewer than `MIN_SITES` sites reaches the upper bound either. A line on `min_sites` sites or more is boilerplate and goes, but for
 its first occurrence (smallest doc_id, then line number), so that a text which
 all sites copy survives once.
 
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quern.llm.common import ASCII_SPACE, materialize
 
-#: Sites from which a line is boilerplate, the sketch's relative error, and how many of these count as near.
+#: Sites from which a line is boilerplate, the sketch's relative error, and how many of these above the threshold still count as near.
 MIN_SITES, ERROR, NEAR = 10, 0.1, 4
 
 
@@ -38,9 +42,9 @@ def lines(rows: DataFrame) -> DataFrame:
 
 def boilerplate(found: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """h1, h2 of the lines on at least min_sites sites, with `first`, their first (doc_id, pos)."""
-    sketched = found.groupBy("h1", "h2").agg(F.approx_count_distinct("site", ERROR).alias("sites"))
-    low, high = min_sites * (1 - NEAR * ERROR), min_sites * (1 + NEAR * ERROR)
-    candidates, _ = materialize(sketched.filter(F.col("sites") >= low).select("h1", "h2", (F.col("sites") < high).alias("near")), "lines")
+    sketched = found.groupBy("h1", "h2").agg(F.approx_count_distinct("site", ERROR).alias("sites"), F.count(F.lit(1)).alias("n"))
+    high = min_sites * (1 + NEAR * ERROR)
+    candidates, _ = materialize(sketched.filter(F.col("n") >= min_sites).select("h1", "h2", (F.col("sites") < high).alias("near")), "lines")
     by_site = (
         found.join(candidates, ["h1", "h2"])
         .withColumn("site", F.when(F.col("near"), F.col("site")))
