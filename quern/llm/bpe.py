@@ -25,6 +25,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
+from os.path import commonprefix
 
 import pyarrow as pa
 import regex
@@ -34,6 +35,8 @@ from quern.llm.common import resident, small_batches
 
 #: Characters that `Encoder.feed` gathers before it looks for a place to cut, and words a worker remembers.
 PIECE, CACHE = 1 << 15, 1 << 18
+#: Characters of the longest word that is remembered, and ids of a longer one that are handed on at a time.
+LONG, SLICE = 64, 1 << 12
 #: Symbols that a word's window takes in at a time, besides the lookahead.
 STEP = 256
 
@@ -148,13 +151,15 @@ def latin(text: str) -> bool:
 
 
 class Remembered(dict):
-    """Results by word, found when first asked for; forgets all once there are CACHE of them."""
+    """Results by word, found when first asked for; forgets all once there are CACHE of them, and keeps none for a word over LONG."""
 
     def __init__(self, find) -> None:
         super().__init__()
         self.find = find
 
     def __missing__(self, word):
+        if isinstance(word, str) and len(word) > LONG:
+            return self.find(word)
         if len(self) >= CACHE:
             self.clear()
         self[word] = found = self.find(word)
@@ -174,20 +179,25 @@ class Encoder:
         normalizer = merges.file["normalizer"] or {"type": "Sequence", "normalizers": []}
         self.normalizers = {n["type"] for n in normalizer.get("normalizers", [normalizer])}
         self.special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
-        self.longest_special = max(map(len, merges.special), default=0)
+        #: What all special tokens begin with.
+        self.sign = commonprefix(list(merges.special))
         self.characters = byte_characters()
         self.known = Remembered(self._word)
         #: Characters whose classes and normal forms the library sees as Python does; Unicode versions differ in the newest.
         self.agreed = set(map(chr, range(256)))
         self.library = None
 
+    def _symbols(self, word: str) -> Iterator[str]:
+        raw = word.encode()
+        for at, b in enumerate(raw, 1):
+            yield self.characters[b] + self.merges.suffix if at == len(raw) else self.characters[b]
+
+    def stream(self, word: str) -> Iterator[int]:
+        """The ids of a word, each as soon as its token is stable."""
+        return map(self.merges.ids.__getitem__, transduce(self._symbols(word), self.merges))
+
     def _word(self, word: str) -> tuple[int, ...]:
-        symbols = [self.characters[b] for b in word.encode()]
-        if symbols and self.merges.suffix:
-            symbols[-1] += self.merges.suffix
-        if len(symbols) <= self.merges.lookahead + STEP:
-            return tuple(self.merges.ids[t] for t in merge(symbols, self.merges.ranks))
-        return tuple(self.merges.ids[t] for t in transduce(symbols, self.merges))
+        return tuple(self.stream(word))
 
     def normalize(self, text: str) -> str:
         if text.isascii():
@@ -220,7 +230,7 @@ class Encoder:
     def _lists(self, text: str) -> Iterator[list]:
         for piece in self.cuts(text):
             at = 0
-            for m in self.special.finditer(piece) if self.special and "<|" in piece else ():
+            for m in self.special.finditer(piece) if self.special and self.sign in piece else ():
                 yield self._words(piece[at : m.start()])
                 yield [self.merges.special[m.group()]]
                 at = m.end()
@@ -301,20 +311,39 @@ class Digester:
         self.merges, self.encoder = merges, Encoder(merges)
         self.spelled = Remembered(self._spelled)
 
-    def _spelled(self, word: str | int) -> tuple[int, str, str, tuple[int, ...]]:
-        ids = (word,) if isinstance(word, int) else self.encoder._word(word)
+    def _spelled(self, word: str | int) -> tuple[int, str, str, tuple[int, ...]] | None:
+        """What `_line` says of a word; None where it is so long that its ids come in slices."""
+        if isinstance(word, int):
+            return self._line((word,))
+        return self._line(self.encoder._word(word)) if len(word) <= LONG else None
+
+    def _line(self, ids: tuple[int, ...]) -> tuple[int, str, str, tuple[int, ...]]:
         return len(ids), " ".join(map(str, ids)), "" if self._bytes else " ".join([self.merges.tokens[i] for i in ids]), ids if self._bytes else ()
 
     @property
     def _bytes(self) -> bool:
         return self.merges.file["decoder"] is not None
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """(number of tokens, SHA-256 of the ids, SHA-256 of the decoded text)."""
-        ids_hash, text_hash, decoder, n = hashlib.sha256(), hashlib.sha256(), Decoder(self.merges), 0
+    def _runs(self, text: str) -> Iterator[list[tuple[int, str, str, tuple[int, ...]]]]:
+        """The lines of a text's words, some at a time."""
         words = self.encoder.words(text)
         while some := list(islice(words, 1 << 14)):
             found = list(map(self.spelled.__getitem__, some))
+            if None not in found:
+                yield found
+                continue
+            for word, line in zip(some, found):
+                if line is not None:
+                    yield [line]
+                    continue
+                ids = self.encoder.stream(word)
+                while part := tuple(islice(ids, SLICE)):
+                    yield [self._line(part)]
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """(number of tokens, SHA-256 of the ids, SHA-256 of the decoded text)."""
+        ids_hash, text_hash, decoder, n = hashlib.sha256(), hashlib.sha256(), Decoder(self.merges), 0
+        for found in self._runs(text):
             lead = " " if n else ""
             ids_hash.update((lead + " ".join([f[1] for f in found])).encode())
             if self._bytes:

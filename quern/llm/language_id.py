@@ -1,16 +1,17 @@
 """Language identification by compression.
 
-Per language, excerpts of labelled documents are joined to a zstandard
-raw-content dictionary. A text, reduced to its lower-cased letter runs, is
+Per language, whole labelled documents are joined to a zstandard raw-content
+dictionary. A text, reduced to its lower-cased letter runs, is
 compressed whole with each dictionary; the smallest result names the language.
 
-Bounded fit: at most `SAMPLE` labelled documents a language, an excerpt of at
-most `EXCERPT` characters each, picked by a hash of doc_id. Prediction reads
+Bounded fit: of the distinct labelled texts of a language, in the order of a
+hash of the text, at most `SAMPLE` whole ones that together have at most
+`BUDGET` characters (where none fits, the shortest one drawn). Prediction reads
 whole texts and nothing but the text.
 
-A margin under `MARGIN` bytes between the smallest and the next result counts
-as narrow, and the document as rejected; equal sizes go to the language with
-more labelled documents, then by name.
+A margin of at most `MARGIN` of the smallest result between it and the next one
+counts as narrow, and the document as rejected; equal sizes go to the language
+with more labelled documents, then by name.
 
 Defined results: null text or text without letters gives `und`, score 0 and
 rejected. Without any labelled document all rows are `und`. Rows keep their
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quern.llm.common import resident, small_batches
 
-SAMPLE, EXCERPT, LEVEL, MARGIN = 256, 1024, 6, 1
+SAMPLE, BUDGET, LEVEL, MARGIN = 256, 1 << 18, 6, 0.01
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -44,24 +45,39 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT) -> dict[str, bytes]:
+def fit(labelled: DataFrame, sample: int = SAMPLE, budget: int = BUDGET) -> dict[str, bytes]:
     """Dictionary content by language, the languages with most labelled documents first.
 
-    labelled: doc_id, text, lang. The driver gets at most about 2 * sample excerpts a language.
+    labelled: doc_id, text, lang. The driver gets the lengths of about 2 * sample texts a language, then the texts that `drawn` takes.
     """
-    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("k"))
+    counts = {r["lang"]: r for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("k").alias("texts")).collect()}
     if not counts:
         return {}
     space = 1 << 30
-    picked = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(space))
-    limits = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int(space * min(1.0, 2 * sample / n)))])
-    rows = usable.select("lang", "doc_id", picked.alias("h"), F.substring("text", 1, excerpt).alias("t")).filter(F.col("h") < limits[F.col("lang")])
-    found: dict[str, set] = {}
-    for r in rows.collect():
-        found.setdefault(r["lang"], set()).add((r["h"], r["t"]))
-    order = sorted(found, key=lambda k: (-counts[k], k))
-    return {k: b"".join(letters(t) for _, t in sorted(found[k])[:sample]) for k in order}
+    keyed = usable.withColumn("h", F.pmod(F.xxhash64("k", F.lit(3)), F.lit(space)))
+    limits = F.create_map(*[F.lit(x) for k, r in sorted(counts.items()) for x in (k, int(space * min(1.0, 2 * sample / max(1, r["texts"]))))])
+    rows = keyed.filter(F.col("h") < limits[F.col("lang")]).select("lang", "h", "k", F.length("text").alias("size"), "text")
+    offered: dict[str, set] = {}
+    for r in rows.select("lang", "h", "k", "size").distinct().collect():
+        offered.setdefault(r["lang"], set()).add((r["h"], r["k"], r["size"]))
+    taken = [(lang, k) for lang, found in offered.items() for k in drawn(sorted(found), sample, budget)]
+    wanted = F.broadcast(labelled.sparkSession.createDataFrame(taken, "lang string, k long")) if taken else keyed.select("lang", "k").limit(0)
+    found: dict[str, list] = {}
+    for r in rows.join(wanted, ["lang", "k"], "left_semi").groupBy("lang", "h", "k").agg(F.first("text").alias("t")).collect():
+        found.setdefault(r["lang"], []).append((r["h"], r["t"]))
+    order = sorted(found, key=lambda x: (-counts[x]["n"], x))
+    return {x: b"".join(letters(t) for _, t in sorted(found[x])) for x in order}
+
+
+def drawn(offered: list[tuple[int, int, int]], sample: int, budget: int) -> list[int]:
+    """Keys of the first `sample` of (hash, key, length) whose lengths fit into what is left of `budget`; the shortest one where none fits."""
+    taken, left = [], budget
+    for _, key, size in offered:
+        if size <= left and len(taken) < sample:
+            taken.append(key)
+            left -= size
+    return taken or [min(offered, key=lambda x: (x[2], x[0]))[1]]
 
 
 class Classifier:
@@ -86,7 +102,7 @@ class Classifier:
         sizes = [(len(c.compress(body)), k) for k, (_, c) in enumerate(self.compressors)]
         best, at = min(sizes)
         score = 1.0 / sum(math.exp(max(-60.0, (best - s) / 2)) for s, _ in sizes)
-        narrow = any(s - best < MARGIN for s, k in sizes if k != at)
+        narrow = any(s - best <= MARGIN * best for s, k in sizes if k != at)
         return self.compressors[at][0], score, narrow
 
 

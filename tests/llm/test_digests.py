@@ -3,18 +3,21 @@
 import hashlib
 import random
 import re
+import string
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from quern.llm.bpe import Decoder, Digester, Merges, encode_decode, merge, transduce
+from quern.llm.bpe import LONG, Decoder, Digester, Merges, encode_decode, merge, transduce
 from quern.llm.exact_dedup import chunks, collisions, exact_dedup, recipes
 from quern.llm.fingerprints import block_tables, fingerprint_documents, neighbours, ordered_buckets
-from quern.llm.language_id import fit, identify, language_id, letters, recognised
+from quern.llm.language_id import Classifier, drawn, fit, identify, language_id, letters, recognised
 from quern.llm.queries import tokenizer
 from tests.llm.helpers import awkward, nothing, texts
 
@@ -202,6 +205,18 @@ def test_decoder_is_incremental():
     assert "".join(decoder.feed([i]) for i in digester.encoder.encode(text)) + decoder.finish() == text
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_long_words_stream_and_are_not_remembered(file):
+    rng = random.Random(8)
+    digester, one = Digester(Merges(tokenizer(file))), Tokenizer.from_file(tokenizer(file))
+    one.no_truncation()
+    one.no_padding()
+    for text in ("x" * 90_000, "".join(rng.choices("abcdefghij", k=30_000)), "a " + "q" * LONG + " b " + "zé" * 9_000 + "<|endoftext|>" + "no" * 900):
+        ids = one.encode(text, add_special_tokens=False).ids
+        assert digester.digest(text) == (len(ids), sha(" ".join(map(str, ids))), sha(one.decode(ids, skip_special_tokens=False)))
+    assert max(len(w) for w in digester.spelled if isinstance(w, str)) <= LONG
+
+
 def test_encode_decode_rows(spark):
     docs = awkward(spark)
     found = encode_decode(docs, tokenizer("word_bpe_49k.json")).collect()
@@ -236,3 +251,25 @@ def test_prediction_ignores_lang_source_and_id(spark, small):
     a = identify(docs.select("doc_id", "text"), model).select("text", "lang_pred")
     b = identify(docs.select((F.col("doc_id") + 7).alias("doc_id"), "text"), model).select("text", "lang_pred")
     assert Counter(map(tuple, a.collect())) == Counter(map(tuple, b.collect()))
+
+
+def test_language_sample_is_whole_and_bounded(spark):
+    assert drawn([(0, 7, 90), (1, 8, 20), (2, 9, 10), (3, 5, 5)], 2, 100) == [7, 9]
+    assert drawn([(0, 7, 300), (1, 8, 200)], 2, 100) == [8]
+    long = "tail " * 2000 + "zzyzx"
+    rows = [(None, long, "en")] * 3 + [(2, "ein kurzer text", "de"), (3, "ein kurzer text", "de"), (4, "noch einer", "de")]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model == {"en": letters(long), "de": model["de"]} and model["en"].count(b"zzyzx") == 1
+    assert sorted([letters("ein kurzer text") + letters("noch einer"), letters("noch einer") + letters("ein kurzer text")]).count(model["de"]) == 1
+
+
+def test_narrow_margins_are_rejected_and_clean_texts_stay(spark, small):
+    rows = spark.read.parquet(small.replace("sf0.001", "sf0.01") + "/documents.parquet").filter("text IS NOT NULL AND lang IS NOT NULL").collect()
+    held = [r for r in rows if crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    model = Classifier(fit(spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in rows if r not in held], "doc_id long, text string, lang string")))
+    rng = random.Random(5)
+    junk = [" ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9))) for _ in range(rng.randint(50, 400))) for _ in range(200)]
+    assert sum(model.predict(x)[2] for x in junk) >= 180
+    clean = [model.predict(r["text"]) for r in held if len(letters(r["text"])) >= 100]
+    assert sum(rejected for *_, rejected in clean) <= len(clean) * 0.01
+    assert model.predict("x")[2] in (True, False) and Classifier({"en": b"only one"}).predict("some words")[2] is False
