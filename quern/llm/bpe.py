@@ -60,14 +60,16 @@ class Merges:
     def __init__(self, path: str) -> None:
         self.path = path
         with open(path, encoding="utf-8") as f:
-            self.file = json.load(f)
-        model = self.file["model"]
+            whole = json.load(f)
+        #: What the file says beside the vocabulary and the merges.
+        self.file = {k: whole[k] for k in ("normalizer", "pre_tokenizer", "decoder")}
+        model = whole["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {p: i for i, p in reversed(list(enumerate(pairs)))}
-        self.tokens = {i: t for t, i in self.ids.items()} | {t["id"]: t["content"] for t in self.file["added_tokens"]}
-        self.special = {t["content"]: t["id"] for t in self.file["added_tokens"]}
+        self.tokens = {i: t for t, i in self.ids.items()} | {t["id"]: t["content"] for t in whole["added_tokens"]}
+        self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
         self.lookahead = sufficient_lookahead(pairs, self.suffix)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The six ASCII whitespace bytes 0x20 and 0x09-0x0D.
@@ -70,11 +73,22 @@ _RESIDENT: dict = {}
 def resident(key, make):
     """An object that a Python worker keeps from task to task, one at a time: asking for another frees it."""
     if key not in _RESIDENT:
-        _RESIDENT.clear()
+        if _RESIDENT:
+            _RESIDENT.clear()
+            give_back()
         _RESIDENT[key] = make()
     return _RESIDENT[key]
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system: allocators keep it otherwise, beside what the next operator needs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
