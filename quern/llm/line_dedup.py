@@ -5,9 +5,10 @@ map-side and in one shuffle of fixed-size rows, together with the number of the
 line's occurrences. A line with fewer occurrences than `min_sites` cannot be
 boilerplate; of the others, those whose estimate is well above the threshold
 keep the sketch's verdict, and all the rest get an exact distinct count. So a
-low estimate loses no line. Below 80 registers in use the sketch counts the
-registers hit, which never exceed the sites: with the values below, no line on
-fewer than `MIN_SITES` sites reaches the upper bound either. A line on `min_sites` sites or more is boilerplate and goes, but for
+low estimate loses no line. Nor does a high one add any: up to an estimate of
+80 the sketch (128 registers) counts linearly, from the registers hit, of which
+there are at most as many as sites; nine sites give 9.3 at most, and only 14 or
+more is well above `MIN_SITES`. A line on `min_sites` sites or more is boilerplate and goes, but for
 its first occurrence (smallest doc_id, then line number), so that a text which
 all sites copy survives once.
 
