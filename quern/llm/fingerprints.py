@@ -73,9 +73,11 @@ def ordered_buckets(body: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Column
         return F.lit(0)
     kind = body.schema["doc_id"].dataType
     ids, hashes = F.lit([e["doc_id"] for e in found]).cast(ArrayType(kind)), F.lit([e["th"] for e in found]).cast("array<bigint>")
-    edges, value = F.arrays_zip(ids.alias("doc_id"), hashes.alias("th")), F.struct("doc_id", "th")
+    # Two literals, of which a step reads one place each: zipped, they would be copied whole at every step of every row.
+    edge, value = lambda at: F.struct(F.get(ids, at).alias("doc_id"), F.get(hashes, at).alias("th")), F.struct("doc_id", "th")
     steps = F.lit([1 << i for i in range(len(found).bit_length() - 1, -1, -1)]).cast("array<int>")
-    return F.aggregate(steps, F.lit(0), lambda place, step: F.when(F.get(edges, place + step - 1) <= value, place + step).otherwise(place))
+    beyond = lambda at: at >= len(found)
+    return F.aggregate(steps, F.lit(0), lambda place, step: F.when(~beyond(place + step - 1) & (edge(place + step - 1) <= value), place + step).otherwise(place))
 
 
 def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

@@ -148,6 +148,16 @@ def test_buckets_are_bounded_by_bytes_and_cross(spark):
         assert found[i * 3] == sha(t[: len(t) - len(t) // 2] + n[: len(t) // 2])
 
 
+def test_bounds_are_not_copied_for_a_row(spark):
+    # The bounds grow with the table, so a row may read some of them but not build them anew.
+    rows = [(None, "n"), *((i, f"t{i}") for i in range(-300, 300))]
+    body = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("text"))
+    dealt = body.withColumn("bucket", ordered_buckets(body, 40))
+    assert "arrays_zip" not in dealt._jdf.queryExecution().optimizedPlan().toString()
+    found = [r["bucket"] for r in dealt.orderBy(F.col("doc_id").asc_nulls_first()).collect()]
+    assert found == sorted(found) and found[0] == 0 and len(set(found)) > 25
+
+
 def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(-(1 << 63), 1 << 63, 60, dtype=np.int64)
