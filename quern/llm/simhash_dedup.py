@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quern.llm.common import ascii_lower, discard, hex16, join_groups, lanes, majority, materialize, resident, small_batches, words
+from quern.llm.crowds import crowd_links, similar
 from quern.llm.graph import components
 
 RADIUS, TERMS = 3, 3
@@ -199,8 +200,18 @@ def blocks(radius: int) -> list:
 BLOCK_RADIUS = 1
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, leaf: int = LEAF, every: bool = False) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (column fp) that connect all pairs within `radius`; `every`: all these pairs, some repeatedly."""
+#: Pairs of a fingerprint within a shard up to which each is proposed by itself.
+CROWDED = 32
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, leaf: int = LEAF, propose: bool = False) -> DataFrame:
+    """Links (u, v) between distinct fingerprints (column fp) that connect all pairs within `radius`.
+
+    `propose`: (u, v, crowd), some repeatedly. Each pair within `radius` is a
+    row with crowd false, or both its fingerprints have over `CROWDED` pairs in
+    a shard and rows with crowd true connect them. So the rows follow the
+    number of fingerprints, however many of them are near one another.
+    """
     count = nodes.count()
     leaves = min(MAX_LEAVES, max(1, count // leaf))
     wanted = SAMPLE_A_LEAF * leaves
@@ -228,22 +239,38 @@ def links(nodes: DataFrame, radius: int = RADIUS, leaf: int = LEAF, every: bool
         moved = np.flatnonzero(root != np.arange(len(query)))
         return pd.DataFrame({"u": query[moved].view(np.int64), "v": query[root[moved]].view(np.int64)})
 
-    def all_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def proposals(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         query = rows["fp"].to_numpy(np.int64).view(np.uint64)
         own = np.flatnonzero(rows["home"].to_numpy(bool))
+        search = lambda link: shard_links(query[own], query, parts[key[0] % len(parts)], BLOCK_RADIUS, radius, link)
+        degree, forest = np.zeros(len(query), np.int64), Forest(len(query))
         found = [np.empty((0, 2), np.int64)]
 
-        def link(h: np.ndarray, q: np.ndarray) -> None:
-            a, b = query[own[h]].view(np.int64), query[q].view(np.int64)
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
+        def count(h: np.ndarray, q: np.ndarray) -> None:
+            apart = own[h] != q
+            np.add(degree, np.bincount(own[h][apart], minlength=len(query)), out=degree)
+            np.add(degree, np.bincount(q[apart], minlength=len(query)), out=degree)
 
-        shard_links(query[own], query, parts[key[0] % len(parts)], BLOCK_RADIUS, radius, link)
+        def link(h: np.ndarray, q: np.ndarray) -> None:
+            at, crowd = own[h], (degree[own[h]] > 2 * CROWDED) & (degree[q] > 2 * CROWDED)
+            forest.link(at[crowd], q[crowd])
+            alone = ~crowd & (at != q)
+            a, b = query[at[alone]].view(np.int64), query[q[alone]].view(np.int64)
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+
+        search(count)
+        search(link)
         once = np.unique(np.concatenate(found), axis=0)
-        return pd.DataFrame({"u": once[:, 0], "v": once[:, 1]})
+        root = forest.find(np.arange(len(query)))
+        moved = np.flatnonzero(root != np.arange(len(query)))
+        u, v = (np.concatenate([once[:, i], query[x].view(np.int64)]) for i, x in enumerate((moved, root[moved])))
+        return pd.DataFrame({"u": u, "v": v, "crowd": np.arange(len(u)) >= len(once)})
 
     small_batches(nodes.sparkSession)
     routed = nodes.select("fp").mapInArrow(route, "shard int, fp long, home boolean")
-    return routed.groupBy("shard").applyInPandas(all_pairs if every else pairs, "u long, v long")
+    if propose:
+        return routed.groupBy("shard").applyInPandas(proposals, "u long, v long, crowd boolean")
+    return routed.groupBy("shard").applyInPandas(pairs, "u long, v long")
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, terms: int = TERMS) -> tuple[DataFrame, DataFrame]:
@@ -268,6 +295,8 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 VERIFY_TERMS = 5
 #: Fingerprints in a shard of the wide search: fewer shards overlap less.
 WIDE_LEAF = 1 << 16
+#: Texts of one fingerprint up to which each pair of them is compared.
+FULL = 8
 
 
 def verified_classes(docs: DataFrame, radius: int, terms: int) -> tuple[DataFrame, DataFrame]:
@@ -276,12 +305,18 @@ def verified_classes(docs: DataFrame, radius: int, terms: int) -> tuple[DataFram
     Fingerprints within `radius` only propose pairs of texts. Of these, the
     pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or
     more are the links of the components. Texts with one set are one node.
-    Sets are of 64-bit hashes, and only those of proposed texts move.
+    Sets are of 64-bit hashes, and only those of proposed texts move. Where
+    fingerprints crowd, the texts around them are one crowd, whose similar
+    pairs are connected without comparing all of them, within `radius` or not.
     """
     rows, _ = materialize(fingerprints(docs, terms), "fingerprints")
     texts, _ = materialize(rows.groupBy("th").agg(F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "texts")
     nodes, _ = materialize(texts.groupBy("fp").agg(F.count(F.lit(1)).alias("texts")), "nodes")
-    near, _ = materialize(links(nodes, radius, WIDE_LEAF, every=True).distinct(), "near")
+    # Fingerprints of many texts are crowds of their own, and so is what is near them.
+    full = nodes.filter(F.col("texts") > FULL).select("fp")
+    end = lambda x: full.select(F.col("fp").alias(x), F.lit(True).alias(f"full_{x}"))
+    seen = links(nodes, radius, WIDE_LEAF, propose=True).distinct().join(end("u"), "u", "left").join(end("v"), "v", "left")
+    near, _ = materialize(seen.select("u", "v", (F.col("crowd") | F.coalesce("full_u", "full_v", F.lit(False))).alias("crowd")), "near")
     proposed = near.select(F.col("u").alias("fp")).union(near.select("v")).union(nodes.filter("texts > 1").select("fp")).distinct()
     wanted = texts.join(proposed, "fp", "left_semi").select("th", "fp")
     bodies = docs.select(F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "th").dropDuplicates(["th"])
@@ -291,14 +326,17 @@ def verified_classes(docs: DataFrame, radius: int, terms: int) -> tuple[DataFram
     sets, _ = materialize(held.select("th", "fp", F.xxhash64("set").alias("k"), F.size("set").alias("size"), "set"), "shingle-sets")
     members = sets.select("fp", "k", "size").distinct()
     one, two = [members.select(F.col("fp").alias(x), F.col("k").alias(f"k{x}"), F.col("size").alias(f"size{x}")) for x in ("u", "v")]
-    met = near.join(one, "u").join(two, "v").union(one.join(two, F.col("u") == F.col("v")).select("v", "u", "ku", "sizeu", "kv", "sizev"))
+    equal = one.join(full, F.col("u") == F.col("fp"), "left_anti").join(two, F.col("u") == F.col("v"))
+    met = near.filter("NOT crowd").drop("crowd").join(one, "u").join(two, "v").union(equal.select("v", "u", "ku", "sizeu", "kv", "sizev"))
     # The smaller set is at least 4 in 5 of the larger one where the similarity is.
     close = met.filter((F.col("ku") != F.col("kv")) & (F.least("sizeu", "sizev") * 5 >= F.greatest("sizeu", "sizev") * 4))
     pairs = close.select(F.least("ku", "kv").alias("u"), F.greatest("ku", "kv").alias("v")).distinct()
     known = sets.select("k", "set").dropDuplicates(["k"])
-    both = pairs.join(known.select(F.col("k").alias("u"), F.col("set").alias("a")), "u").join(known.select(F.col("k").alias("v"), F.col("set").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    roots = components(both.filter(shared * 9 >= (F.size("a") + F.size("b")) * 4).select("u", "v"))
+    crowded = near.filter("crowd").select("u", "v")
+    around = crowded.select(F.col("u").alias("fp")).union(crowded.select("v")).union(full).distinct()
+    joined = around.join(components(crowded), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("crowd"))
+    verified = similar(pairs, known).union(crowd_links(sets.join(joined, "fp").select("crowd", "k", "set")))
+    roots = components(verified)
     placed = sets.select("th", "k").join(roots, F.col("k") == F.col("node"), "left").select("th", F.coalesce("root", "k").alias("root"))
     kinds = texts.join(placed, "th", "left").select("th", "n", F.col("root").isNotNull().alias("kind"), F.coalesce("root", "th").alias("root"))
     found, _ = materialize(kinds, "classes")
