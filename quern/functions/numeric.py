@@ -121,7 +121,8 @@ def gamma(x: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def lgamma(x: pd.Series) -> pd.Series:
-    return _by_value(math.lgamma, x)
+    """Infinite at 0 and the negative whole numbers, its poles."""
+    return _by_value(lambda v: math.inf if v <= 0 and float(v).is_integer() else math.lgamma(v), x)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -94,3 +94,8 @@ def test_gcd_and_lcm_take_nulls(spark):
     df = spark.createDataFrame([(12, 18), (None, 4), (0, 0), (-4, 6), (5, None)], "a long, b long")
     assert [tuple(r) for r in df.select(M.gcd("a", "b"), M.lcm("a", "b")).collect()] == [(6, 36), (None, None), (0, 0), (2, 12), (None, None)]
     assert [r[0] for r in df.select(M.lgamma(F.col("b").cast("double"))).collect()][1:2] == [math.lgamma(4)]
+
+
+def test_lgamma_at_its_poles(one):
+    assert one(M.lgamma(F.lit(-1.0))) == one(M.lgamma(F.lit(-100.0))) == one(M.lgamma(F.lit(float("-inf")))) == math.inf
+    assert one(M.lgamma(F.lit(-0.5))) == math.lgamma(-0.5)
