@@ -58,6 +58,23 @@ def test_chat_lines(spark):
     assert chat_lines(table.filter("turn > 9")).count() == 0
 
 
+def test_lines_hold_what_canonical_returns(spark, monkeypatch):
+    from quern.llm import tool_calls
+
+    texts = ['say "", "text":""', "", None, '{"prompt":""}', "back\\slash, é \U0001f600\n", "[]", "Infinity"]
+    table = spark.createDataFrame([(c, 2, "user", t) for c, t in enumerate(texts)] + [(None, 2, "user", "n")], "conv_id long, turn long, role string, text string")
+    collected = lambda: {r["conv_id"]: r["line"] for r in chat_lines(table).collect()}
+    found = collected()
+    for c, line in found.items():
+        text, made = "n" if c is None else texts[c], json.loads(line)
+        assert line == json.dumps(made, sort_keys=True, separators=(",", ":"), ensure_ascii=False) and made.get("content") == text and len(made["calls"]) == 3
+        assert all(call["arguments"].get("prompt" if call["name"] == "reply" else "text") == text for call in made["calls"])
+    # Without the stage the arguments stay as the calls gave them, spaced and out of order.
+    monkeypatch.setattr(tool_calls, "canonical", lambda arguments: arguments)
+    given = collected()
+    assert all(given[c] != line and json.loads(given[c]) == json.loads(line) for c, line in found.items())
+
+
 def test_chat_lines_equal_sql(spark, small):
     from quern.llm.queries import oracle_sql, queries
     from tests.oracle import connect, same
