@@ -21,7 +21,8 @@ def _c(x) -> Column:
 def fdivide(a, b) -> Column:
     """a / b as doubles, with signed infinities and NaN for division by zero."""
     x, y = _c(a).cast("double"), _c(b).cast("double")
-    by_zero = F.when(x > 0, F.lit(_INF)).when(x < 0, F.lit(-_INF)).when(x.isNotNull(), F.lit(float("nan")))
+    # NaN is the greatest of doubles to Spark, so it is told apart first.
+    by_zero = F.when(F.isnan(x), x).when(x > 0, F.lit(_INF)).when(x < 0, F.lit(-_INF)).when(x.isNotNull(), F.lit(float("nan")))
     return F.when(y == 0, by_zero).otherwise(F.try_divide(x, y))
 
 

@@ -99,3 +99,9 @@ def test_gcd_and_lcm_take_nulls(spark):
 def test_lgamma_at_its_poles(one):
     assert one(M.lgamma(F.lit(-1.0))) == one(M.lgamma(F.lit(-100.0))) == one(M.lgamma(F.lit(float("-inf")))) == math.inf
     assert one(M.lgamma(F.lit(-0.5))) == math.lgamma(-0.5)
+
+
+def test_nan_by_zero_is_nan(one):
+    for zero in (0, 0.0, -0.0):
+        assert math.isnan(one(M.fdivide(F.lit(math.nan), F.lit(zero))))
+    assert one(M.fdivide(F.lit(math.inf), F.lit(0))) == math.inf and one(M.fdivide(F.lit(-math.inf), F.lit(0))) == -math.inf
