@@ -43,7 +43,9 @@ sql_query("join_using", "orders lineitem", "SELECT k, count(*) AS n FROM (SELECT
 sql_query("join_null_safe", "documents labels", "SELECT d.doc_id, l.quality FROM documents d JOIN labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id")
 sql_query("join_inequality", "nation", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
 sql_query("join_blockwise", "nation region", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey + r_regionkey = 4 OR n_nationkey = r_regionkey")
-sql_query("join_lateral", "customer orders", "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS t")
+# The oracle's order ends with nulls.
+sql_query("join_lateral", "customer orders", "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey NULLS LAST LIMIT 1) AS t",
+          "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS t")
 frame_query("join_salted", lambda s, d: salted_join(table(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity"), table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), ["l_suppkey"], 8).groupBy("s_name").agg(F.sum("l_quantity").alias("qty")),
             "SELECT s_name, sum(l_quantity) AS qty FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name")
 frame_query("join_salted_full", lambda s, d: salted_join(table(s, d, "customer").select(F.col("c_custkey").alias("k"), "c_name"), table(s, d, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice"), ["k"], 8, "full"),

@@ -1,8 +1,10 @@
 """Queries answer for every row of their tables and for whole texts."""
 
+import duckdb
 import pytest
 
 from quern.plans import registry
+from tests.oracle import same
 
 LINEITEM = "num_arithmetic num_division num_rounding num_powers num_trig num_special num_classes num_bits num_bitstring".split()
 ORDERS = "list_access list_search list_build list_sort list_lambda list_aggregates list_range".split()
@@ -49,3 +51,13 @@ def test_whole_texts_and_null_places(spark, tmp_path):
 def test_all_orders_have_an_age(spark, small):
     orders = spark.read.parquet(f"{small}/orders.parquet").count()
     assert registry.queries()["date_age"](spark, small).filter("a <> ''").count() == orders
+
+
+def test_lateral_ties_put_null_keys_last(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,), (3,), (None,)], "c_custkey long").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    orders = [(None, 1, 5.0), (9, 1, 5.0), (8, 1, None), (None, 2, None), (4, 2, None), (None, 3, 7.0), (6, 3, 1.0), (5, None, 9.0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    for name in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    same(registry.queries()["join_lateral"](spark, str(tmp_path)), con, registry.oracle_sql()["join_lateral"])
