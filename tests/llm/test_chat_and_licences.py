@@ -75,6 +75,26 @@ def test_lines_hold_what_canonical_returns(spark, monkeypatch):
     assert all(given[c] != line and json.loads(given[c]) == json.loads(line) for c, line in found.items())
 
 
+def test_texts_themselves_are_validated_and_made_canonical(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quern.llm import tool_calls
+
+    table = spark.createDataFrame([(1, 8, "user", "bad one"), (1, 6, "user", "good"), (2, 4, "user", None), (3, 4, "user", "")], "conv_id long, turn long, role string, text string")
+    before = {(r["conv_id"], r["turn"]): r for r in chat_lines(table).collect()}
+    # In pieces of any size the lines are the same.
+    monkeypatch.setattr(tool_calls, "PIECE", 3)
+    pieces = {(r["conv_id"], r["turn"]): r for r in chat_lines(table).collect()}
+    assert pieces == before and before[1, 6]["valid"] and before[3, 4]["valid"] and not before[2, 4]["valid"]
+    monkeypatch.undo()
+    # What canonical makes of a text shows in its line alone: the stage sees the text, not a place for it.
+    whole = tool_calls.canonical
+    monkeypatch.setattr(tool_calls, "canonical", lambda arguments: F.when(~arguments.contains("bad"), whole(arguments)))
+    after = {(r["conv_id"], r["turn"]): r for r in chat_lines(table).collect()}
+    assert before[1, 8]["valid"] and not after[1, 8]["valid"] and after[1, 6] == before[1, 6]
+    assert all("arguments" not in call for call in json.loads(after[1, 8]["line"])["calls"])
+
+
 def test_chat_lines_equal_sql(spark, small):
     from quern.llm.queries import oracle_sql, queries
     from tests.oracle import connect, same
