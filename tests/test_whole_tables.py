@@ -61,3 +61,13 @@ def test_lateral_ties_put_null_keys_last(spark, tmp_path):
     for name in ("customer", "orders"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     same(registry.queries()["join_lateral"](spark, str(tmp_path)), con, registry.oracle_sql()["join_lateral"])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def test_no_sketch_for_each_distinct_key(spark, small):
+    plan = _plan(registry.queries()["agg_approx"](spark, small))
+    sketched = [line for line in plan if "approx_percentile" in line and "Aggregate" in line]
+    assert sketched and all("keys=[]" in line for line in sketched)
