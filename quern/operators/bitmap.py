@@ -27,7 +27,8 @@ def with_row_ids(df: DataFrame, order: list[Column], name: str = "rid") -> DataF
 def build(base: DataFrame, index: str, code: Column, rid: str = "rid") -> DataFrame:
     """Equality encoding: one bit vector a value code. For group encoding, pass the group's code (a month, a bin)."""
     parts = base.select(code.cast("long").alias("value"), F.expr(f"bitmap_bucket_number({rid})").alias("bucket"), F.expr(f"bitmap_bit_position({rid})").alias("position"))
-    found = parts.filter(F.col("value").isNotNull()).groupBy("value", "bucket").agg(F.bitmap_construct_agg("position").alias("bits"))
+    # Rows move by bucket and meet in the order (bucket, value): their vectors are made one at a time, where OR by bucket finds them.
+    found = parts.filter(F.col("value").isNotNull()).repartition("bucket").groupBy("bucket", "value").agg(F.bitmap_construct_agg("position").alias("bits"))
     return found.select(F.lit(index).alias("index_name"), "value", "bucket", "bits")
 
 

@@ -71,3 +71,11 @@ def test_no_sketch_for_each_distinct_key(spark, small):
     plan = _plan(registry.queries()["agg_approx"](spark, small))
     sketched = [line for line in plan if "approx_percentile" in line and "Aggregate" in line]
     assert sketched and all("keys=[]" in line for line in sketched)
+
+
+def test_vectors_do_not_move(spark, small):
+    plan = _plan(registry.queries()["bitmap_q5_foreign_keys"](spark, small))
+    made = next(i for i, line in enumerate(plan) if "bitmap_construct_agg" in line)
+    moves = [line for line in plan[:made] if "Exchange" in line]
+    assert len(moves) == 1 and "SinglePartition" in moves[0]
+    assert sum("bucket" in line and "Exchange" in line for line in plan[made:]) == 1
