@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quern.operators.shared import written
+
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -140,11 +143,60 @@ def mode(df: DataFrame, keys: Sequence[str], x: str | Column, name: str = "mode"
     return counts.withColumn("__r", F.row_number().over(order)).filter("__r = 1").select(*keys, F.col("__v").alias(name))
 
 
+def _same(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+
+
+def _at_ranks(df: DataFrame, keys: Sequence[str], x: Column, ranks: Sequence[Callable[[Column], Column]]) -> DataFrame:
+    """keys, __n (values) and __0, __1, ...: the values at 0-based ranks, which are functions of __n.
+
+    Counts of distinct values are range-partitioned and written, so no task
+    holds a group: totals by partition tell in which one a rank lies, and only
+    the rows of such partitions are added up.
+    """
+    counts = df.select(*keys, x.alias("__v")).groupBy(*keys, "__v").agg(F.count("__v").alias("__c"))
+    stored, _ = written(counts.repartitionByRange(*keys, "__v").withColumn("__p", F.spark_partition_id()), "quantiles")
+    parts = stored.groupBy(*keys, "__p").agg(F.sum("__c").alias("__s"))
+    group = Window.partitionBy(*keys)
+    parts = parts.withColumn("__n", F.sum("__s").over(group)).withColumn("__before", F.sum("__s").over(group.orderBy("__p")) - F.col("__s"))
+    wanted = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), (rank(F.col("__n")).cast("long") - F.col("__before")).alias("at")) for i, rank in enumerate(ranks)]), lambda w: (w["at"] >= 0) & (w["at"] < F.col("__s")))
+    targets = parts.select(*keys, "__p", wanted.alias("__w")).filter(F.size("__w") > 0)
+    near = stored.alias("l").join(targets.alias("r"), _same([*keys, "__p"])).select("l.*", "__w")
+    run = F.sum("__c").over(Window.partitionBy(*keys, "__p").orderBy("__v"))
+    hits = near.withColumn("__to", run).select(*keys, "__v", F.explode(F.filter("__w", lambda w: (w["at"] < F.col("__to")) & (w["at"] >= F.col("__to") - F.col("__c")))["i"]).alias("__i"))
+    found = hits.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, F.col("__v"))).alias(f"__{i}") for i in range(len(ranks))])
+    totals = parts.groupBy(*keys).agg(F.max("__n").alias("__n"))
+    return totals.alias("l").join(found.alias("r"), _same(keys), "left").select("l.*", *[F.col(f"r.__{i}") for i in range(len(ranks))])
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str | Column, float]], discrete: Sequence[str] = ()) -> DataFrame:
+    """keys and the exact quantiles by name, (values, share): interpolated as doubles, those named in `discrete` a value that there is; nulls do not count."""
+    out: DataFrame | None = None
+    for x in dict.fromkeys(str(_c(x)) for x, _ in wanted.values()):
+        mine = {n: (_c(v), q) for n, (v, q) in wanted.items() if str(_c(v)) == x}
+        ranks: list[Callable[[Column], Column]] = []
+        for name, (_, q) in mine.items():
+            if name in discrete:
+                ranks += [lambda n, q=q: F.greatest(F.ceil(n * F.lit(q)) - 1, F.lit(0))] * 2
+            else:
+                ranks += [lambda n, q=q: F.floor((n - 1) * F.lit(q)), lambda n, q=q: F.ceil((n - 1) * F.lit(q))]
+        found = _at_ranks(df, keys, next(iter(mine.values()))[0], ranks)
+        columns = []
+        for i, (name, (_, q)) in enumerate(mine.items()):
+            low, high, place = F.col(f"__{2 * i}"), F.col(f"__{2 * i + 1}"), (F.col("__n") - 1) * F.lit(q)
+            between = F.when(low == high, low.cast("double")).otherwise(low + (high - low) * (place - F.floor(place)))
+            columns.append((low if name in discrete else between).alias(name))
+        part = found.select(*keys, *columns)
+        out = part if out is None else out.alias("l").join(part.alias("r"), _same(keys)).select("l.*", *[F.col(f"r.{n}") for n in mine])
+    return out.select(*keys, *wanted)
+
+
 def mad(df: DataFrame, keys: Sequence[str], x: str | Column, name: str = "mad") -> DataFrame:
     """Median absolute deviation: medians by key, joined back, then the median of distances."""
     values = df.select(*keys, _c(x).alias("__v"))
-    middle = values.groupBy(*keys).agg(F.median("__v").alias("__m"))
-    return values.join(middle, list(keys)).groupBy(*keys).agg(F.median(F.abs(F.col("__v") - F.col("__m"))).alias(name))
+    middle = quantiles(values, keys, {"__m": ("__v", 0.5)})
+    far = values.alias("l").join(middle.alias("r"), _same(keys)).select(*[F.col(f"l.{k}").alias(k) for k in keys], F.abs(F.col("__v") - F.col("__m")).alias("__d"))
+    return quantiles(far, keys, {name: ("__d", 0.5)})
 
 
 def binned_histogram(df: DataFrame, x: str | Column, bins: Sequence[float]) -> DataFrame:

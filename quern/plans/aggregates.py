@@ -64,7 +64,7 @@ frame_query("agg_mode", lambda s, d: A.mode(_LI(s, d), ["l_returnflag"], "l_line
 frame_query("agg_mad", lambda s, d: A.mad(_LI(s, d), ["l_returnflag"], "l_quantity"), "SELECT l_returnflag, mad(l_quantity) AS mad FROM lineitem GROUP BY l_returnflag")
 frame_query("agg_binned_histogram", lambda s, d: A.binned_histogram(_LI(s, d), "l_quantity", [10, 20, 30, 45]),
             "SELECT bin, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN l_quantity <= 10 THEN 10.0::DOUBLE WHEN l_quantity <= 20 THEN 20 WHEN l_quantity <= 30 THEN 30 WHEN l_quantity <= 45 THEN 45 ELSE 'inf'::DOUBLE END AS bin, 1 AS n FROM lineitem) GROUP BY bin")
-sql_query("agg_quantiles", "lineitem", """SELECT l_returnflag, median(l_extendedprice) AS med, percentile(l_extendedprice, 0.25) AS q25, percentile_disc(0.9) WITHIN GROUP (ORDER BY l_quantity) AS d90 FROM lineitem GROUP BY l_returnflag""",
+frame_query("agg_quantiles", lambda s, d: A.quantiles(_LI(s, d), ["l_returnflag"], {"med": ("l_extendedprice", 0.5), "q25": ("l_extendedprice", 0.25), "d90": ("l_quantity", 0.9)}, discrete=["d90"]),
           "SELECT l_returnflag, median(l_extendedprice) AS med, quantile_cont(l_extendedprice, 0.25) AS q25, quantile_disc(l_quantity, 0.9) AS d90 FROM lineitem GROUP BY l_returnflag")
 # Beside an exact distinct count in one aggregation, each distinct key would have a sketch of its own.
 sql_query("agg_approx", "lineitem", """SELECT abs(a.n - d.n) < 0.15 * d.n AS near, abs(a.middle - 25) < 2 AS mid FROM (SELECT approx_count_distinct(l_partkey) AS n, approx_percentile(l_quantity, 0.5) AS middle FROM lineitem) AS a

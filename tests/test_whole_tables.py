@@ -79,3 +79,20 @@ def test_vectors_do_not_move(spark, small):
     moves = [line for line in plan[:made] if "Exchange" in line]
     assert len(moves) == 1 and "SinglePartition" in moves[0]
     assert sum("bucket" in line and "Exchange" in line for line in plan[made:]) == 1
+
+
+def test_quantiles_hold_no_group_in_a_task(spark, small):
+    from quern.functions import aggregates as A
+
+    assert not any("percentile" in line or "median" in line for line in _plan(registry.queries()["agg_quantiles"](spark, small)))
+    rows = [(g, float(i * 7 % 101)) for g in ("a", None) for i in range(100 + (g is None))] + [("a", None), ("b", None), ("c", 2.0), ("d", 1.0), ("d", float("nan")), ("d", float("inf")), ("e", 3.0), ("e", 3.0), ("e", 0.0), ("e", 0.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    shares = (0, 0.1, 0.25, 0.5, 0.9, 1)
+    wanted = {f"c{i}": ("x", q) for i, q in enumerate(shares)} | {f"d{i}": ("x", q) for i, q in enumerate(shares)}
+    found = A.quantiles(df, ["g"], wanted, [f"d{i}" for i in range(len(shares))])
+    names = [f"quantile_cont(x, {q}) AS c{i}, quantile_disc(x, {q}) AS d{i}" for i, q in enumerate(shares)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (g VARCHAR, x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    same(found, con, f"SELECT g, {', '.join(names)} FROM t GROUP BY g")
+    same(A.mad(df, ["g"], "x").filter("g <> 'd' OR g IS NULL"), con, "SELECT g, mad(x) AS mad FROM t WHERE g <> 'd' OR g IS NULL GROUP BY g")
