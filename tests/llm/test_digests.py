@@ -198,6 +198,21 @@ def test_bpe_any_text(bpe, text):
     agree(bpe, text)
 
 
+def test_narrow_pattern_splits_as_the_wide_one():
+    import random
+
+    import regex
+
+    from quern.llm.bpe import OWN, narrow
+
+    random.seed(5)
+    wide, fast = regex.compile(OWN), narrow()
+    every = "".join(map(chr, range(256)))
+    texts = [every, *(a + b for a in every for b in every)]
+    texts += ["".join(random.choices("ab1 '\n\t\x1c\x85\xa0\xaa\xb2\xe9.stmdrevl" + every, k=random.randint(1, 60))) for _ in range(3000)]
+    assert all(fast.findall(t) == wide.findall(t) for t in texts)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abceinorst'", min_size=1, max_size=400), st.integers(1, 40))
 def test_transducer_equals_whole_merge(bpe, word, step):
