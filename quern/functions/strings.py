@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 
@@ -180,9 +183,91 @@ def _damerau(a: str, b: str) -> int:
     return d[len(a), len(b)]
 
 
-@F.pandas_udf(T.LongType())
-def damerau_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else _damerau(x, y) for x, y in zip(a, b)], dtype="object")
+#: Pairs of up to SHORT characters a side are computed side by side, in blocks of CELLS cells of their tables.
+SHORT, CELLS = 128, 1 << 20
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points in rows padded by -1, lengths) of texts."""
+    size = np.array([len(t) for t in texts])
+    out = np.full((len(texts), int(size.max())), -1, np.int32)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.int32)
+    return out, size
+
+
+def _damerau_block(left: list[str], right: list[str]) -> np.ndarray:
+    """_damerau of many pairs at once, cell by cell."""
+    (a, la), (b, lb) = _codes(left), _codes(right)
+    n, w, h = len(left), a.shape[1], b.shape[1]
+    rows = np.arange(n)
+    # Place (i, j) of the table is at [i + 1, j + 1].
+    d = np.zeros((w + 2, h + 2, n), np.int32)
+    d[0] = d[:, 0] = la + lb
+    d[1:, 1] = np.arange(w + 1)[:, None]
+    d[1, 1:] = np.arange(h + 1)[:, None]
+    last = np.zeros((h, n), np.int32)
+    for i in range(1, w + 1):
+        x, seen = a[:, i - 1], np.zeros(n, np.int32)
+        alike = (b == x[:, None]).T
+        for j in range(1, h + 1):
+            same, k = alike[j - 1], last[j - 1]
+            moved = d[k, seen, rows] + (i - k - 1) + 1 + (j - seen - 1)
+            d[i + 1, j + 1] = np.minimum(np.minimum(d[i, j] + ~same, moved), np.minimum(d[i + 1, j], d[i, j + 1]) + 1)
+            seen = np.where(same, j, seen).astype(np.int32)
+        last[alike] = i
+    return d[la + 1, lb + 1, rows]
+
+
+def _jaro_block(left: list[str], right: list[str]) -> np.ndarray:
+    """_jaro of many pairs at once."""
+    (a, la), (b, lb) = _codes(left), _codes(right)
+    n, w, h = len(left), a.shape[1], b.shape[1]
+    reach = np.maximum(0, np.maximum(la, lb) // 2 - 1)
+    most, place = int(reach.max()), np.arange(h)
+    used, first, m = np.zeros((n, h), bool), np.zeros((n, w), np.int32), np.zeros(n, np.int64)
+    for i in range(w):
+        low, high = max(0, i - most), min(h, i + most + 1)
+        if low >= high:
+            continue
+        free = (b[:, low:high] == a[:, i, None]) & ~used[:, low:high] & (np.abs(place[low:high] - i) <= reach[:, None]) & (i < la)[:, None]
+        hit = np.flatnonzero(free.any(axis=1))
+        used[hit, low + free[hit].argmax(axis=1)] = True
+        first[hit, m[hit]] = a[hit, i]
+        m[hit] += 1
+    second = np.zeros((n, w), np.int32)
+    row, at = np.nonzero(used)
+    second[row, (np.cumsum(used, axis=1) - 1)[row, at]] = b[row, at]
+    moved = (first != second).sum(axis=1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = (m / la + m / lb + (m - moved) / m) / 3
+    return np.where((la == 0) | (lb == 0), (la == lb).astype(float), np.where(m == 0, 0.0, score))
+
+
+def _pairs(one: Callable, block: Callable, a: pa.Array, b: pa.Array, kind: pa.DataType) -> pa.Array:
+    """one of each pair, by blocks of pairs of like lengths where both sides are short; null for null."""
+    x, y = a.to_pylist(), b.to_pylist()
+    out: list = [None] * len(x)
+    size = [-1 if p is None or q is None else max(len(p), len(q)) for p, q in zip(x, y)]
+    order, at = sorted((i for i, s in enumerate(size) if s >= 0), key=size.__getitem__), 0
+    while at < len(order):
+        # The block's longest pair decides the size of its tables.
+        end = at + 1
+        while end < len(order) and size[order[end]] <= SHORT and (end + 1 - at) * (size[order[end]] + 2) ** 2 <= CELLS:
+            end += 1
+        some = order[at:end]
+        if size[some[-1]] > SHORT or not size[some[-1]]:
+            for i in some:
+                out[i] = one(x[i], y[i])
+        else:
+            for i, v in zip(some, block([x[i] for i in some], [y[i] for i in some]).tolist()):
+                out[i] = v
+        at = end
+    return pa.array(out, kind)
+
+
+@F.arrow_udf(T.LongType())
+def damerau_levenshtein(a: pa.Array, b: pa.Array) -> pa.Array:
+    return _pairs(_damerau, _damerau_block, a, b, pa.int64())
 
 
 def _jaro(a: str, b: str) -> float:
@@ -204,15 +289,14 @@ def _jaro(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3
 
 
-@F.pandas_udf(T.DoubleType())
-def jaro_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else _jaro(x, y) for x, y in zip(a, b)], dtype="float64")
+@F.arrow_udf(T.DoubleType())
+def jaro_similarity(a: pa.Array, b: pa.Array) -> pa.Array:
+    return _pairs(_jaro, _jaro_block, a, b, pa.float64())
 
 
-@F.pandas_udf(T.DoubleType())
-def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: str, y: str) -> float:
-        base = _jaro(x, y)
+@F.arrow_udf(T.DoubleType())
+def jaro_winkler_similarity(a: pa.Array, b: pa.Array) -> pa.Array:
+    def winkler(x: str, y: str, base: float) -> float:
         same = 0
         for p, q in zip(x[:4], y[:4]):
             if p != q:
@@ -220,4 +304,5 @@ def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
             same += 1
         return base + same * 0.1 * (1 - base) if base > 0.7 else base
 
-    return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b)], dtype="float64")
+    base = _pairs(_jaro, _jaro_block, a, b, pa.float64()).to_pylist()
+    return pa.array([None if v is None else winkler(x, y, v) for x, y, v in zip(a.to_pylist(), b.to_pylist(), base)], pa.float64())

@@ -105,3 +105,20 @@ def test_nan_by_zero_is_nan(one):
     for zero in (0, 0.0, -0.0):
         assert math.isnan(one(M.fdivide(F.lit(math.nan), F.lit(zero))))
     assert one(M.fdivide(F.lit(math.inf), F.lit(0))) == math.inf and one(M.fdivide(F.lit(-math.inf), F.lit(0))) == -math.inf
+
+
+def test_pairs_side_by_side_equal_one_by_one():
+    import random
+
+    import pyarrow as pa
+
+    random.seed(2)
+    word = lambda n: "".join(random.choices("abc\u00e9\U0001f600", k=n))
+    pairs = [(word(random.randint(0, 12)), word(random.randint(0, 12))) for _ in range(3000)] + [(word(130), word(3)), (word(128), word(90)), ("ca", "abc"), (None, "a"), ("", ""), ("", "a")]
+    a, b = (pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1))
+    for one, block, kind in ((S._damerau, S._damerau_block, pa.int64()), (S._jaro, S._jaro_block, pa.float64())):
+        assert S._pairs(one, block, a, b, kind).to_pylist() == [None if x is None else one(x, y) for x, y in pairs]
+    # A block of many names takes few steps: none for each pair.
+    taken = []
+    S._pairs(lambda x, y: taken.append(x), S._damerau_block, pa.array(["Customer#1"] * 500), pa.array(["1#remotsuC"] * 500), pa.int64())
+    assert not taken
