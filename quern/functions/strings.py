@@ -7,7 +7,6 @@ import unicodedata
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
@@ -146,21 +145,34 @@ def format_braces(pattern: str, *values: str | Column) -> Column:
     return F.format_string(pattern.replace("%", "%%").replace("{}", "%s"), *[_c(v).cast("string") for v in values])
 
 
-@F.pandas_udf(T.StringType())
-def strip_accents(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c))))
+def _each(f: Callable[[str], object], kind: pa.DataType, texts: pa.Array) -> pa.Array:
+    """f of each text, one in Python at a time; null for null."""
+    return pa.array((None if not x.is_valid else f(x.as_py()) for x in texts), kind, size=len(texts))
 
 
-@F.pandas_udf(T.StringType())
-def nfc_normalize(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+def _plain(x: str) -> str:
+    return x if x.isascii() else unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf(T.LongType())
-def length_grapheme(s: pd.Series) -> pd.Series:
+def _graphemes(x: str) -> int:
     import regex
 
-    return s.map(lambda x: None if x is None else len(regex.findall(r"\X", x)))
+    return len(x) - x.count("\r\n") if x.isascii() else sum(1 for _ in regex.finditer(r"\X", x))
+
+
+@F.arrow_udf(T.StringType())
+def strip_accents(s: pa.Array) -> pa.Array:
+    return _each(_plain, pa.string(), s)
+
+
+@F.arrow_udf(T.StringType())
+def nfc_normalize(s: pa.Array) -> pa.Array:
+    return _each(lambda x: unicodedata.normalize("NFC", x), pa.string(), s)
+
+
+@F.arrow_udf(T.LongType())
+def length_grapheme(s: pa.Array) -> pa.Array:
+    return _each(_graphemes, pa.int64(), s)
 
 
 def _damerau(a: str, b: str) -> int:

@@ -5,7 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+
+#: Bytes of an Arrow batch of long texts: a worker holds several copies of one.
+BATCH_BYTES = 8 << 20
+
+
+def byte_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, as texts may be long, unless they are bounded tighter."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(c for c in str(spark.conf.get(key, "67108864b")) if c.isdigit()) or 0)
+    if now == 0 or now > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def scalar(f: Callable, returns: T.DataType, null_aware: bool = False) -> Callable[..., Column]:

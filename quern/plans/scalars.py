@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quern.functions import numeric as N, strings as S, vectors as V
+from quern.functions.udfs import byte_batches
 from quern.plans.registry import frame_query, sql_query
 from quern.session import table
 
@@ -36,7 +37,14 @@ sql_query("str_codecs", "customer", "SELECT c_custkey, base64(CAST(c_name AS BIN
 frame_query("str_format", _strings(lambda: dict(a=F.format_string("%05d|%s", "c_custkey", "c_mktsegment"), b=S.format_braces("{} of {}", "c_name", "c_nationkey"), c=S.to_base("c_custkey", 36), d=S.format_bytes(F.col("c_custkey") * 12345))),
             f"SELECT c_custkey, printf('%05d|%s', c_custkey, c_mktsegment) AS a, format('{{}} of {{}}', c_name, c_nationkey) AS b, to_base(c_custkey, 36) AS c, format_bytes(c_custkey * 12345) AS d {_C}")
 frame_query("str_bar", _strings(lambda: dict(a=S.bar("c_custkey", 0, 1500, 10))), f"SELECT c_custkey, bar(c_custkey, 0, 1500, 10) AS a {_C}")
-frame_query("str_unicode", lambda s, d: table(s, d, "documents").select("doc_id", S.strip_accents("text").alias("a"), S.nfc_normalize("text").alias("b"), S.length_grapheme("text").alias("g")),
+
+
+def _unicode(s, d):
+    byte_batches(s)
+    return table(s, d, "documents").select("doc_id", S.strip_accents("text").alias("a"), S.nfc_normalize("text").alias("b"), S.length_grapheme("text").alias("g"))
+
+
+frame_query("str_unicode", _unicode,
             "SELECT doc_id, strip_accents(text) AS a, nfc_normalize(text) AS b, length_grapheme(text) AS g FROM documents")
 frame_query("str_url_path", lambda s, d: table(s, d, "pages").select("page_id", S.url_encode("url").alias("e"), F.url_decode(F.replace(S.url_encode("url"), F.lit("+"), F.lit("%2B"))).alias("d"), S.parse_filename("url").alias("f"), S.parse_dirname("url").alias("dn"), S.parse_dirpath("url").alias("dp"), S.parse_path("url").alias("p")),
             "SELECT page_id, url_encode(url) AS e, url AS d, parse_filename(url) AS f, parse_dirname(url) AS dn, parse_dirpath(url) AS dp, list_filter(string_split(url, '/'), lambda x: x <> '') AS p FROM pages")

@@ -122,3 +122,11 @@ def test_pairs_side_by_side_equal_one_by_one():
     taken = []
     S._pairs(lambda x, y: taken.append(x), S._damerau_block, pa.array(["Customer#1"] * 500), pa.array(["1#remotsuC"] * 500), pa.int64())
     assert not taken
+
+
+def test_graphemes_of_plain_text(one):
+    import regex
+
+    for text in ("", "a\r\nb\n\r", "\r\r\n", "e\u0301x", "".join(map(chr, range(128)))):
+        assert one(S.length_grapheme(F.lit(text))) == len(regex.findall(r"\X", text))
+    assert one(S.strip_accents(F.lit(None).cast("string"))) is None

@@ -96,3 +96,15 @@ def test_quantiles_hold_no_group_in_a_task(spark, small):
     con.executemany("INSERT INTO t VALUES (?, ?)", rows)
     same(found, con, f"SELECT g, {', '.join(names)} FROM t GROUP BY g")
     same(A.mad(df, ["g"], "x").filter("g <> 'd' OR g IS NULL"), con, "SELECT g, mad(x) AS mad FROM t WHERE g <> 'd' OR g IS NULL GROUP BY g")
+
+
+def test_long_texts_reach_python_in_small_batches(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "67108864b")
+        spark.createDataFrame([(1, "x")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+        registry.queries()["str_unicode"](spark, str(tmp_path))
+        assert int(spark.conf.get(key).rstrip("b")) <= 8 << 20
+    finally:
+        spark.conf.set(key, before)
