@@ -203,7 +203,7 @@ def test_narrow_pattern_splits_as_the_wide_one():
 
     import regex
 
-    from quern.llm.bpe import OWN, narrow
+    from quern.llm.bpe import OWN, WORDS, narrow
 
     random.seed(5)
     wide, fast = regex.compile(OWN), narrow()
@@ -211,6 +211,41 @@ def test_narrow_pattern_splits_as_the_wide_one():
     texts = [every, *(a + b for a in every for b in every)]
     texts += ["".join(random.choices("ab1 '\n\t\x1c\x85\xa0\xaa\xb2\xe9.stmdrevl" + every, k=random.randint(1, 60))) for _ in range(3000)]
     assert all(fast.findall(t) == wide.findall(t) for t in texts)
+    wide, fast = regex.compile(WORDS), narrow(WORDS)
+    assert all(fast.findall(t) == wide.findall(t) for t in texts)
+
+
+def plain_texts():
+    """Texts of the first 256 characters with all their neighbourhoods, and some that are split one at a time."""
+    rng = random.Random(6)
+    every = "".join(map(chr, range(256)))
+    texts = ["", " ", "\n ", every, *(a + "".join(x + b for x in every) for a in ("", "a", " ") for b in "a1.' \n\x00é\x85")]
+    texts += ["".join(rng.choices("ab12 '\n\t\x1c\x85\xa0\xaa\xb2\xe9.stmdrevlSTM" + every, k=rng.randint(1, 60))) for _ in range(3000)]
+    texts += ["'s", "''s", "a's't're've'm'll'd", " 's", "'rex'r", "a'", "'ll", "x" * 64, "x" * 65, " " + "x" * 64, "é" * 64, "1" * 70, " " * 70 + "a", "a" + " " * 70]
+    return texts + ["日本 a", "x <|endoftext|>y", "a" * 3000, "", "the end"]
+
+
+def test_texts_together_equal_one_at_a_time(bpe, monkeypatch):
+    digester, _ = bpe
+    texts = plain_texts()
+    alone = [digester.encoder.encode(t) for t in texts]
+    for ids, where, count, places in digester.encoder.shared(texts):
+        together = [None if p is None else [i for w in p for i in ids[where[w] : where[w] + count[w]].tolist()] for p in places]
+        assert len(places) == len(texts) and all(t is None or t == a for t, a in zip(together, alone))
+        assert sum(p is None for p in places) < 12
+    want = [digester.digest(t) for t in texts]
+    assert list(digester.digests(texts)) == want and list(digester.digests([])) == []
+    monkeypatch.setattr("quern.llm.bpe.SLAB", 500)
+    monkeypatch.setattr("quern.llm.bpe.SHORT", 40)
+    assert list(digester.digests(texts)) == want
+
+
+def test_plain_words_are_not_merged_one_at_a_time(monkeypatch):
+    digester = Digester(Merges(tokenizer("word_bpe_49k.json")))
+    text = "It's plain prose, and l'été has 2 or 3 words.\n" * 3
+    want = digester.digest(text)
+    monkeypatch.setattr("quern.llm.bpe.merge", None)
+    assert list(Digester(digester.merges).digests([text, ""])) == [want, (0, sha(""), sha(""))]
 
 
 @settings(max_examples=60, deadline=None)
