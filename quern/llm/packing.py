@@ -35,7 +35,7 @@ BROADCAST_ROWS = 200_000
 
 
 class Ids:
-    """Token ids of whole texts as little-endian bytes; merges are the library's, common words are remembered."""
+    """Token ids of whole texts as little-endian bytes; common words are remembered. Merges are our own for texts that `Encoder.shared` splits, the library's for others."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -45,16 +45,30 @@ class Ids:
         self.model = Tokenizer.from_file(path).model
         self.table = {b: c for b, c in enumerate(self.encoder.characters)}
         self.known = Remembered(self._find)
+        self.packed = [i.to_bytes(4, "little") for i in range(max(merges.tokens) + 1)]
 
     def _find(self, word: str | int) -> bytes:
         if isinstance(word, int):
-            return word.to_bytes(4, "little")
+            return self.packed[word]
         spelled = word.encode().decode("latin-1").translate(self.table)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(spelled)])
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, self.encoder.words(text)))
 
+    def many(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; the words of some at a time are merged together."""
+        at = 0
+        for ids, where, count, places in self.encoder.shared(texts):
+            for text, place in zip(texts[at : at + len(places)], places):
+                if place is None:
+                    yield self(text)
+                    continue
+                n = count[place]
+                before = np.cumsum(n)
+                yield ids[np.repeat(where[place] + n - before, n) + np.arange(before[-1] if len(n) else 0)].astype("<u4").tobytes()
+            at += len(places)
+
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: full ones, the first may be shorter."""
@@ -67,11 +81,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = resident(("ids", path), lambda: Ids(path))
+        encode = resident(("ids", path), lambda: Ids(path)).many
         for batch in batches:
             rows, out = [], []
-            for at, text in enumerate(batch.column(1)):
-                ids = encode(text.as_py() or "") + end
+            for at, found in enumerate(encode([text or "" for text in batch.column(1).to_pylist()])):
+                ids = found + end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append(at)
                     out.append((k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))

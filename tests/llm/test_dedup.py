@@ -9,10 +9,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from quern.llm.graph import components
 from quern.llm.line_dedup import cleaned, line_dedup
-from quern.llm.packing import best_fit, cut, sweeps
+from quern.llm.packing import Ids, best_fit, cut, sweeps
 from quern.llm.queries import tokenizer
 from quern.llm.simhash_dedup import Forest, Tree, blocks, links, near_dedup, shard_links, simhash_components
 from quern.llm.suffix_dedup import remove_repeats, runs, sort_batch, text_anchors, whole_groups, windows, without_repeats
@@ -246,6 +247,20 @@ def test_sweeps_place_all_without_overlap():
     assert sweeps({}) == [] and cut(1, 4) == [(0, 1)] and cut(8, 4) == [(0, 4), (4, 4)] and cut(9, 4) == [(0, 1), (1, 4), (5, 4)]
 
 
+def test_ids_of_many_texts_equal_the_library(monkeypatch):
+    from tests.llm.test_digests import plain_texts
+
+    path = tokenizer("byte_bpe_50k.json")
+    one, ids, texts = Tokenizer.from_file(path), Ids(path), plain_texts()
+    want = [np.array(one.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(ids.many(texts)) == want and list(ids.many([])) == [] and list(ids.many(["", ""])) == [b"", b""]
+    assert [ids(t) for t in texts[-40:]] == want[-40:]
+    # Words of plain texts are merged together, none by a call of its own.
+    monkeypatch.setattr(ids, "known", None)
+    plain = ["It's plain prose, and l'été has 2 or 3 words.\n", "one more"]
+    assert list(ids.many(plain)) == [np.array(one.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in plain]
+
+
 def test_packing(spark):
     import zlib
 
